@@ -289,3 +289,14 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[int, str]], slop: int |
 def items_digest(items) -> str:
     """What items_sha256 holds, for a list of item ids."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that verdicts() doesn't call contaminated. Rows with a null
+    doc_id are judged by their text like the others, rows that repeat a doc_id each on its own text."""
+    # A digest tells texts of repeated or null ids apart; only contaminated ones are joined back.
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    by_text = docs.select(key.alias("doc_id"), "text")
+    bad = verdicts(decontaminate(by_text, benchmark)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    bad, _ = materialize(bad, "contaminated")
+    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
