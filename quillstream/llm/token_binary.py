@@ -33,6 +33,8 @@ from quillstream.llm.zstd_frames import frames, read_files, skippable, write_row
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = struct.pack("<I", 0x8F92EAB1)
 _BY_FILE: dict[str, "ChunkEncoder"] = {}
+#: Texts whose words are held at a time.
+SLICE = 128
 #: Stands for a null doc_id in a file's directory.
 NO_ID = -(2**63)
 
@@ -41,7 +43,7 @@ class ChunkEncoder:
     """The library's ids of whole texts. White space always ends a word for vocabularies that drop it, so
     stretches between spaces are encoded once each and remembered (bounded, then emptied)."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,6 +65,9 @@ class ChunkEncoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        return [x for at in range(0, len(texts), SLICE) for x in self._words(texts[at : at + SLICE])]
+
+    def _words(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         seen = self.seen
         if len(seen) >= self.keep:
