@@ -17,6 +17,7 @@ stay repeated, in an arbitrary but single order; other columns are ignored; an e
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -27,11 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import materialize, new_path
+from quillstream.llm.common import drop, materialize, new_path
 from quillstream.llm.zstd_frames import frames, read_files, skippable, write_rows
 
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = struct.pack("<I", 0x8F92EAB1)
+_STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
 _BY_FILE: dict[str, "ChunkEncoder"] = {}
 #: Texts whose words are held at a time.
 SLICE = 128
@@ -56,6 +58,7 @@ class ChunkEncoder:
         self.seen: dict[str, bytes] = {}
         # A vocabulary that keeps white space gives "a b" other ids than "a" and "b".
         probe = [self._ids(x) for x in ("ab cd", "ab", "cd", "ab \n\tcd")]
+        self.folds = self._ids("Ab cD.") == self._ids("ab cd .") and self._ids("é1,") == self._ids("É1 ,")
         self.by_word = probe[0] == probe[1] + probe[2] == probe[3]
 
     def _ids(self, text: str) -> list[int]:
@@ -67,8 +70,16 @@ class ChunkEncoder:
             return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         return [x for at in range(0, len(texts), SLICE) for x in self._words(texts[at : at + SLICE])]
 
+    def _simple(self, text: str) -> str:
+        """A text with the same ids but fewer different words: small letters, and full stops and commas
+        apart from the word before. Only where the vocabulary does the same, and for characters whose
+        small letters and composed forms are beyond doubt (Latin)."""
+        if not self.folds or "<|" in text or max(text) >= "\u0250":
+            return text
+        return _STOP.sub(r" \1", text.lower())
+
     def _words(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [self._simple(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         seen = self.seen
         if len(seen) >= self.keep:
             seen.clear()
@@ -140,12 +151,16 @@ class FileReader:
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str, file_tokens: int = 4_000_000) -> int:
     """Encode, order by doc_id and write the files of a folder; returns how many were asked for."""
     spark = docs.sparkSession
+    # On the way to its file an id takes two bytes where the vocabulary allows it.
+    short = max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id) < 2**16
 
     def encode(batches):
         e = encoder(vocabulary)
         end = struct.pack("<I", end_id)
         for b in batches:
             got = [x + end for x in e.encode(b.column("text").to_pylist())]
+            if short:
+                got = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "ids"])
 
     def pack(batches):
@@ -153,19 +168,20 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
         for b in batches:
             for i, p in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
                 ids.append(NO_ID if i is None else i)
-                payloads.append(p)
+                payloads.append(np.frombuffer(p, "<u2").astype("<u4").tobytes() if short else p)
                 size += len(p)
         if ids:  # the last four bytes come from the writer
             yield pa.RecordBatch.from_arrays([pa.array([pack_file(ids, payloads)[:-4]], pa.binary())], names=["file"])
 
-    encoded, _ = materialize(
+    encoded, held = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary"),
         "token-ids",
     )
     total = encoded.agg(F.sum(F.length("ids"))).first()[0] or 0
-    n = max(1, -(-total // (4 * file_tokens)), spark.sparkContext.defaultParallelism)
+    n = max(1, -(-total // ((2 if short else 4) * file_tokens)), spark.sparkContext.defaultParallelism)
     files = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(pack, "file binary")
     write_rows(files, "file", path, SEEKABLE)
+    drop(spark, held)
     return n
 
 
