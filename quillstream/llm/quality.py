@@ -74,7 +74,7 @@ def statistics(text: str | None) -> list[float]:
 
 
 def matrix(texts: list[str | None]) -> np.ndarray:
-    return np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), -1)
+    return np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), len(statistics(None)))
 
 
 class BradleyTerry:
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Bradle
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     rows = learning_rows(docs, sample).select("doc_id", "y", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id").collect() if sample else []
-    return BradleyTerry.fit(np.array([r.x for r in rows], np.float64).reshape(len(rows), -1), np.array([r.y for r in rows], np.int64))
+    return BradleyTerry.fit(np.array([r.x for r in rows], np.float64).reshape(len(rows), len(statistics(None))), np.array([r.y for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:

@@ -135,7 +135,10 @@ class FileReader:
 
     def _frame(self, i: int) -> bytes:
         _, size, check = (int(x) for x in self.table[i])
-        plain = self.z.decompress(self.data[self.offsets[i] : self.offsets[i + 1]], max_output_size=size)
+        try:
+            plain = self.z.decompress(self.data[self.offsets[i] : self.offsets[i + 1]], max_output_size=size)
+        except zstandard.ZstdError as e:
+            raise ValueError(f"frame {i} is damaged") from e
         if len(plain) != size or xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {i} is damaged")
         return plain
