@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quillstream.llm.common import crc_mod, labelled_sample, learning_rows
 
 CUT = 0.7
-LEARN_ROWS = 12_000
+LEARN_ROWS = 6_000
 HELD_MOD, HELD_REST = 3, 1
 MAX_FEATURES = 4_000
 #: English insults and contempt.
