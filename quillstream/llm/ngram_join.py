@@ -43,9 +43,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 8) -> tuple[int, int]:
-    """(bands, rows): of at least four rows, the choice that needs least hashes times candidates: the fewest
-    hashes among those that find a pair at the threshold with the target recall and at most one in ten
-    pairs of a third of the threshold."""
+    """(bands, rows): the fewest hashes among the choices of up to most_rows rows that find a pair at the
+    threshold with the target recall, and a pair at half the threshold with a probability of at most a quarter."""
     best = None
     for r in range(1, most_rows + 1):
         b = math.ceil(math.log(1 - recall) / math.log(1 - threshold**r))
