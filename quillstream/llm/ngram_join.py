@@ -39,6 +39,8 @@ RECALL = 0.9999
 #: A verification task holds at most two blocks of about this many classes and n-grams.
 BLOCK_CLASSES = 512
 BLOCK_GRAMS = 1_000_000
+#: A Python worker remembers the hashes of at most this many words, and forgets them when its task ends.
+KEPT_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +63,7 @@ def grams(text: str | None, n: int = N) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     held = _WORDS
-    if len(held) > 2_000_000:
+    if len(held) > KEPT_WORDS:
         held.clear()
     h = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
     if len(h) <= n:
@@ -130,6 +132,7 @@ def _signatures(docs: DataFrame, n: int, threshold: float, recall: float) -> Dat
                 marks.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 keys.append(bands.keys(g) if len(g) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(marks, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "class_key", "n_grams", "keys"])
+        _WORDS.clear()
 
     return docs.mapInArrow(run, _SIGNED)
 
@@ -231,6 +234,7 @@ def _verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
         out += emit(group)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
+        _WORDS.clear()
 
     return rows.mapInArrow(run, _VERIFIED)
 
