@@ -210,7 +210,7 @@ class ToxicityModel:
         return [f for _, _, f in rated[:MAX_FEATURES]]
 
     def _of(self, word: str) -> tuple[str, ...]:
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         got = self.known[word] = tuple(f for f in features_of(word) if f in self.weights)
         return got
