@@ -187,20 +187,20 @@ def phrase_blocks(items: DataFrame, window: int, block_words: int):
         yield PhraseBlock(held, window)
 
 
-_FOUND = "row long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
+_FOUND = "segment long, place long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
 
 
 def _search(index: DataFrame, block: PhraseBlock | None) -> DataFrame:
-    """For each document of the index: merged spans of hit words and the items that occur. `row` tells
-    documents apart where ids repeat: segment number and place in the segment."""
+    """For each document of the index: merged spans of hit words and the items that occur. `segment` and
+    `place`, the segment's number and the place in it, tell documents apart where ids repeat."""
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(block)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.int64())]
 
     def run(batches):
         block = shared.value
         for b in batches:
-            for n, row in enumerate(b.to_pylist()):
+            for row in b.to_pylist():
                 seg = _load(row)
                 spans: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[int]] = {}
@@ -217,11 +217,11 @@ def _search(index: DataFrame, block: PhraseBlock | None) -> DataFrame:
                         items.setdefault(d, set()).update(block.owners[r])
                 count = len(seg.docs)
                 cols = [
-                    [row["segment"] + d for d in range(count)], seg.docs, seg.lengths.tolist(),
+                    [row["segment"]] * count, list(range(count)), seg.docs, seg.lengths.tolist(),
                     [[{"start": a, "stop": z} for a, z in spans.get(d, ())] for d in range(count)],
                     [sorted(items.get(d, ())) for d in range(count)],
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["segment", "place", "doc_id", "n_words", "spans", "items"])
 
     return index.mapInArrow(run, _FOUND)
 
@@ -231,8 +231,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     With several blocks of items, spans of a document may overlap; n_hit() counts their union."""
     index = build_index(docs)
-    # Numbered once, in the table's own order; 2^33 apart leaves room for the documents of a segment.
-    index = index.withColumn("segment", F.monotonically_increasing_id() * F.lit(2**24))
+    # The number holds the partition in its upper bits, so no arithmetic is done with it.
+    index = index.withColumn("segment", F.monotonically_increasing_id())
     blocks = phrase_blocks(benchmark, window, block_words)
     first = next(blocks, None)
     found, several = _search(index, first), False
@@ -240,11 +240,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         several = True
         found = found.unionByName(_search(index, block).where(F.size("items") > 0))
     if several:
-        found = found.groupBy("row").agg(
+        found = found.groupBy("segment", "place").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         )
-    return found.drop("row")
+    return found.drop("segment", "place")
 
 
 def n_hit(spans):

@@ -97,6 +97,22 @@ def test_decontaminate(spark):
     assert decontaminate.decontaminate(odd(spark, []), bench).count() == 0 and decontaminate.decontaminate(odd(spark), bench).count() == len(ODD)
 
 
+def test_decontaminate_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 1)  # a segment a document
+    docs = spark.createDataFrame([(k // 2, f"b c {k}") for k in range(160)], "doc_id long, text string").repartition(80)
+    bench = spark.createDataFrame([(10, "b c"), (11, "b c 7")], "item_id long, text string")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert decontaminate.build_index(docs).rdd.getNumPartitions() > 64
+        for words in (2_000_000, 2):  # one block, and several
+            got = decontaminate.decontaminate(docs, bench, block_words=words).collect()
+            assert sorted(r.doc_id for r in got) == sorted(k // 2 for k in range(160))
+            assert sorted(len(r["items"]) for r in got) == [1] * 159 + [2]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
 def test_ngram_join(spark):
     g = random.Random(4)
     base = [[f"w{g.randrange(5000)}" for _ in range(60)] for _ in range(6)]
