@@ -7,8 +7,9 @@ a vector whose squared Mahalanobis distance is beyond a chi-square quantile is r
 
 The estimate is deterministic: it starts from medians and spreads, then concentration steps refit it to the
 three quarters of a group's rows that are nearest, scaled so that half of the rows lie within the
-chi-square median. `FLOOR` is added to the variances (as in the regularised form of the method), since most
-texts have no symbol or repetition at all and a scatter without it would be singular. Groups of fewer than
+chi-square median of as many degrees as there are statistics with scatter of their own. `FLOOR` is added to the
+variances (as in the regularised form of the method), since most texts have no symbol or repetition at all and
+a scatter without it would be singular. Groups of fewer than
 MIN_GROUP rows are estimated together; without MIN_ROWS rows there is no verdict and the row is kept.
 
 Scale: one map over texts writes vectors of a few numbers; a concentration step is two aggregations over these,
@@ -33,7 +34,10 @@ from quillstream.llm.common import drop, materialize
 D = 4
 #: Standard deviations below which a statistic's spread is not taken to lie: log mean word length, and the
 #: square roots of the shares of symbols, repeated lines and repeated words.
-FLOOR = (0.10, 0.07, 0.25, 0.20)
+#: Symbols and word length have what keeps the scatter invertible; repetition has more, as prose repeats by chance.
+FLOOR = (0.005, 0.01, 0.05, 0.05)
+#: Chi-square medians of 1 to D degrees.
+MEDIANS = (0.4549364, 1.3862944, 2.3659739, 3.3566940)
 CORE = 0.75
 STEPS = 3
 QUANTILE = 0.9999
@@ -114,9 +118,10 @@ def base_table(docs: DataFrame) -> DataFrame:
 
 
 def _invert(moments: DataFrame) -> DataFrame:
-    """Group rows of means m0.. and covariances c00.. to a model: means and the inverse of the floored scatter."""
+    """Group rows of means m0.. and covariances c00.. to a model: means, the inverse of the floored scatter and the
+    number of statistics whose own scatter is above the floor."""
     pairs = [(i, j) for i in range(D) for j in range(i, D)]
-    names = ["grp", "rows", *(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in pairs)]
+    names = ["grp", "rows", *(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in pairs), "dims"]
 
     def run(batches):
         for b in batches:
@@ -128,13 +133,14 @@ def _invert(moments: DataFrame) -> DataFrame:
                     c[i, j] += v
                     if i != j:
                         c[j, i] += v
+                dims = int((np.diag(c) > 2 * np.array(FLOOR) ** 2).sum())
                 inv = np.linalg.inv(c)
-                out.append([r["grp"], r["rows"], *(r[f"m{i}"] for i in range(D)), *(float(inv[i, j]) for i, j in pairs)])
+                out.append([r["grp"], r["rows"], *(r[f"m{i}"] for i in range(D)), *(float(inv[i, j]) for i, j in pairs), dims])
             cols = list(zip(*out)) if out else [[] for _ in names]
-            kinds = [pa.string(), pa.int64()] + [pa.float64()] * (len(names) - 2)
+            kinds = [pa.string(), pa.int64()] + [pa.float64()] * (len(names) - 3) + [pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return moments.mapInArrow(run, "grp string, rows long, " + ", ".join(f"{n} double" for n in names[2:]))
+    return moments.mapInArrow(run, "grp string, rows long, " + ", ".join(f"{n} double" for n in names[2:-1]) + ", dims int")
 
 
 def _distance():
@@ -172,7 +178,8 @@ def fit(rows: DataFrame) -> DataFrame:
         model, path = new, p2
     # The core's scatter is too small for all rows: half of the rows are to lie within the median distance.
     half = rows.join(model, "grp").select("grp", _distance().alias("d2")).groupBy("grp").agg(F.percentile_approx("d2", 0.5, 2000).alias("half"), F.count(F.lit(1)).alias("rows"))
-    return model.drop("rows").join(half, "grp").withColumn("unit", F.greatest(F.lit(1.0), F.col("half") / chi_square_quantile(0.5, D))).drop("half")
+    median = F.element_at(F.array(*(F.lit(m) for m in MEDIANS)), F.greatest(F.col("dims"), F.lit(1)))
+    return model.drop("rows").join(half, "grp").withColumn("unit", F.greatest(F.lit(1.0), F.col("half") / median)).drop("half", "dims")
 
 
 def quality_rules(docs: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -200,6 +200,25 @@ def test_outliers(spark):
     assert abs(outliers.chi_square_quantile(0.5, 4) - 3.3567) < 1e-3
 
 
+def test_outliers_planted(spark):
+    g = random.Random(6)
+
+    def prose(n, size):
+        return [" ".join("".join(g.choice("abcdefghij") for _ in range(g.randrange(size - 2, size + 3))) for _ in range(12)) for _ in range(n)]
+
+    def planted(share):
+        words = " ".join(prose(10, 6)).split()
+        return " ".join(w + "#" * k for w, k in zip(words, np.diff(np.floor(np.arange(len(words) + 1) * 6 * share / (1 - share))).astype(int)))
+
+    rows = [(1000 * s + k, "\n".join(prose(10, size)), f"s{s}") for s, size in enumerate((6, 8)) for k in range(100)]
+    rows += [(5000 + k, planted(k / 100), "s0") for k in range(2, 11)]  # percent of symbols
+    rows += [(6000, "\n".join(f"{x}\nok" for x in prose(10, 6)), "s0")]  # nearly half of the lines repeat, no words do
+    rows += [(7000, "\n".join(prose(10, 8)), "s0"), (7001, "\n".join(prose(10, 6)), "s1")]  # the other source's words
+    got = {r.doc_id: r for r in outliers.quality_rules(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, source string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {i for i, _, _ in rows if i >= 5000}
+
+
 def test_classifiers(spark, sf, labelled):
     for fit, mod, rest, col in ((lambda t, y: quality.BradleyTerry.fit(quality.matrix(t), y), 4, 2, 2), (toxicity.ToxicityModel.fit, 3, 1, 3)):
         held = [zlib.crc32(str(r[0]).encode()) % mod == rest for r in labelled]
