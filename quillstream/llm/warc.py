@@ -13,7 +13,8 @@ Each task writes one archive; nothing else moves html. The dictionary is trained
 pages (`DICTIONARY_PAGES`), which affects sizes only.
 
 Defined results: null html is an empty payload; a null url is an empty target; pages with a null page_id
-count as larger than all others and keep a null id; repeated page_ids keep their rows (the copies revisit
+count as larger than all others and keep a null id, and where all ids of a payload are null one of its pages is
+the response; repeated page_ids keep their rows (the copies revisit
 the first); other columns are ignored; an empty table gives an empty result.
 """
 
@@ -85,7 +86,12 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     marked = src.select("page_id", "url", "html", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("size"))
-    first = marked.where(F.col("size") >= min_revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    # Pages without an id are numbered in a table, so that a number stays with its row.
+    marked, unnamed = marked.withColumn("row", F.lit(None).cast("long")), marked.where("page_id is null")
+    if unnamed.select("page_id").head(1):
+        unnamed, _ = materialize(unnamed.withColumn("row", F.monotonically_increasing_id()), "warc-null-ids")
+        marked = marked.where("page_id is not null").unionByName(unnamed)
+    first = marked.where(F.col("size") >= min_revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.min("row").alias("first_row"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     first, _ = materialize(first, "warc-copies")
     dictionary = _dictionary(src)
 
@@ -120,7 +126,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     # Copies join their digest's row (small: only digests that occur more than once).
     joined = marked.join(first, "sha1", "left").select(
         "page_id", "url", "html", "first_id",
-        (F.col("copies").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))).alias("refers"),
+        (F.col("copies").isNotNull() & ~F.coalesce(F.when(F.col("first_id").isNull(), F.col("row") == F.col("first_row")).otherwise(F.col("page_id") == F.col("first_id")), F.lit(False))).alias("refers"),
     )
     write_rows(joined.mapInArrow(pack, "frame binary"), "frame", path, EMPTY_FRAME)
 

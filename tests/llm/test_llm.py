@@ -83,6 +83,12 @@ def test_warc(spark):
             warc.parse_record(bad)
 
 
+def test_warc_null_ids(spark):
+    rows = [(None, u, h, "t", 1) for u, h in [("a", "<p>x</p>"), ("b", "<p>x</p>"), ("b", "<p>x</p>"), ("c", "<p>y</p>"), ("d", "<p>z</p>")]] + [(7, "e", "<p>z</p>", "t", 1)]
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to, r.html) for r in warc.archives(pages(spark, rows)).collect())
+    assert got == {(None, "response", None, "<p>x</p>"): 1, (None, "revisit", None, None): 2, (None, "response", None, "<p>y</p>"): 1, (7, "response", None, "<p>z</p>"): 1, (None, "revisit", 7, None): 1}
+
+
 def test_decontaminate(spark):
     docs = spark.createDataFrame([(1, "A b c d."), (2, None), (3, "x b C y b c"), (3, "q"), (None, "b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(10, "b C"), (2, "B c"), (2, "b c"), (5, None), (6, "--"), (7, " ".join(map(str, range(20))))], "item_id long, text string")
