@@ -242,9 +242,9 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Toxici
         for b in batches:
             texts = b.column("text").to_pylist()
             short = []
-            for t in texts:  # distinct words, and the stretches that patterns can match
-                marks = [m.group(0) for p in (ADDRESS, SHOUT) for m in p.finditer(t or "")][:20]
-                short.append(" ".join([*sorted(words_of(t)), *marks]))
+            for t in texts:  # distinct words, and a match of each pattern, as votes() looks for them
+                found = (ADDRESS.search((t or "").lower()), SHOUT.search(t or ""))
+                short.append(" ".join([*sorted(words_of(t)), *(m.group(0) for m in found if m)]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(short, pa.string())], names=["doc_id", "y", "text"])
 
     rows = learning_rows(docs, sample).select("doc_id", "y", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, y int, text string").orderBy("doc_id").collect()

@@ -225,6 +225,17 @@ def test_outliers_planted(spark):
     assert {i for i, r in got.items() if not r.kept} == {i for i, _, _ in rows if i >= 5000}
 
 
+def test_toxicity_marks(spark, monkeypatch):
+    bad = toxicity.INSULTS[0]
+    texts = [f"You are {bad}.", f"THEY ARE {bad.upper()}.", f"he is a {bad} " * 25 + f"and {bad}!", f"{bad.upper()} !", "you are kind!"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % toxicity.HELD_MOD != toxicity.HELD_REST][: len(texts)]
+    got = []
+    monkeypatch.setattr(toxicity.ToxicityModel, "fit", lambda t, y: got.extend(t))
+    toxicity.learn(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int"))
+    marks = lambda t: (bool(toxicity.ADDRESS.search(t.lower())), bool(toxicity.SHOUT.search(t)))
+    assert [marks(t) for t in got] == [marks(t) for t in texts] == [(True, False), (True, False), (True, True), (False, True), (False, False)]
+
+
 def test_classifiers(spark, sf, labelled):
     for fit, mod, rest, col in ((lambda t, y: quality.BradleyTerry.fit(quality.matrix(t), y), 4, 2, 2), (toxicity.ToxicityModel.fit, 3, 1, 3)):
         held = [zlib.crc32(str(r[0]).encode()) % mod == rest for r in labelled]
