@@ -118,6 +118,10 @@ class Bands:
         return out.view(np.int64).tolist()
 
 
+def _class_key(gram_set: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(gram_set.tobytes()) if len(gram_set) else None
+
+
 _SIGNED = "doc_id long, class_key binary, n_grams long, keys array<long>"
 
 
@@ -129,7 +133,7 @@ def _signatures(docs: DataFrame, n: int, threshold: float, recall: float) -> Dat
             for t in b.column("text").to_pylist():
                 g = grams(t, n)
                 size.append(len(g))
-                marks.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
+                marks.append(_class_key(g))
                 keys.append(bands.keys(g) if len(g) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(marks, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "class_key", "n_grams", "keys"])
         _WORDS.clear()
@@ -239,6 +243,18 @@ def _verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, _VERIFIED)
 
 
+def _with_class(texts: DataFrame, n: int) -> DataFrame:
+    """Adds class_key to (rep, text)."""
+
+    def run(batches):
+        for b in batches:
+            keys = [_class_key(grams(t, n)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("text"), pa.array(keys, pa.binary())], names=["rep", "text", "class_key"])
+        _WORDS.clear()
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, text string, class_key binary")
+
+
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """For every document: doc_id, rep_id (least doc_id with the same n-gram set), class_id (least doc_id of
     its group of linked documents), n_copies (documents of its n-gram set), n_links (other documents with
@@ -278,7 +294,9 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     tasks, _ = materialize(dealt.select(F.col("node").alias("rep"), "copies", "component", F.explode(F.concat(F.array(own), pairs)).alias("t")).select("rep", "copies", "component", "t.*"), "tasks")
     # Each text is fetched once, then follows its tasks.
     wanted, _ = materialize(tasks.select("rep").distinct(), "wanted")
-    texts = src.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]) if _repeats(signed) else src.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
+    texts = src.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
+    if _repeats(signed):  # of an id's texts, one of its class
+        texts = _with_class(texts, n).join(classes, ["rep", "class_key"], "left_semi").dropDuplicates(["rep"]).drop("class_key")
     texts, _ = materialize(texts, "texts")
     rows = tasks.join(texts, "rep").repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j", "side", "rep")
     verified, _ = materialize(_verify(rows, n, threshold), "verified")
@@ -299,13 +317,19 @@ def _repeats(signed: DataFrame) -> bool:
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs, one document of each group: the one of least doc_id. Rows with a null doc_id stay;
-    of rows that repeat a kept doc_id one stays."""
-    joined = ngram_join(docs, n, threshold, recall)
-    gone, _ = materialize(joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")), "gone")
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if not again.head(1):
-        return kept
-    again, _ = materialize(again, "again")
-    single = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
-    return single.unionByName(kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
+    texts that share a doc_id are judged one by one, so of these one stays only where they are equal or linked."""
+    key = F.col("doc_id").cast("long")
+    if not docs.where(key.isNotNull()).groupBy(key).count().where("count > 1").head(1):
+        joined = ngram_join(docs, n, threshold, recall)
+        gone, _ = materialize(joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    # An id and a text's digest are numbered in the order of ids, so the least number has the least id.
+    pair = ["_id", "_digest"]
+    named = docs.withColumn("_id", key).withColumn("_digest", F.coalesce(F.sha2(F.col("text").cast("string").cast("binary"), 256), F.lit("null")))
+    numbered = named.where("_id is not null").groupBy(*pair).agg(F.count(F.lit(1)).alias("_rows")).orderBy(*pair).withColumn("_n", F.monotonically_increasing_id())
+    numbered, _ = materialize(numbered, "numbered")
+    joined = ngram_join(named.join(numbered, pair).select(F.col("_n").alias("doc_id"), "text"), n, threshold, recall)
+    gone, _ = materialize(joined.where("doc_id <> class_id").select(F.col("doc_id").alias("_n")).join(numbered, "_n").select(*pair), "gone")
+    kept = named.join(gone, pair, "left_anti")
+    again = numbered.where("_rows > 1").select(*pair)
+    return kept.join(again, pair, "left_anti").unionByName(kept.join(again, pair, "left_semi").dropDuplicates(pair)).select(*[F.col(f"`{c}`") for c in docs.columns])

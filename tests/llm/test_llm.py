@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from quillstream.llm import decontaminate, html_text, ngram_join, outliers, quality, queries, sentence_pieces, token_binary, token_counts, toxicity, warc
@@ -148,6 +149,25 @@ def test_ngram_join(spark):
     assert 1 - (1 - 0.8**r) ** b >= 0.9999
 
 
+def test_ngram_join_repeated_ids(spark):
+    g = random.Random(9)
+    text = lambda: " ".join(f"w{g.randrange(5000)}" for _ in range(60))
+    first, second = {k: text() for k in range(12)}, {k: text() for k in range(12)}
+    rows = [(k, t[k]) for t in (first, second) for k in t]
+    rows += [(100 * s + k, t[k] + " end") for s, t in ((1, first), (2, second)) for k in t]  # linked, not equal
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.ngram_join(docs).collect()}
+    key = lambda t: xxhash.xxh3_128_digest(ngram_join.grams(t).tobytes())
+    for k in range(12):
+        near, far = (100 + k, 200 + k) if key(first[k]) < key(second[k]) else (200 + k, 100 + k)
+        assert [(got[i].class_id, got[i].n_links) for i in (k, near, far)] == [(k, 1), (k, 1), (far, 0)]
+    twin = text()
+    more = spark.createDataFrame([(0, first[0]), (500, twin), (500, twin + " end"), (None, twin)], "doc_id long, text string")
+    kept = sorted(map(tuple, ngram_join.keep_one(docs.union(more)).collect()), key=repr)
+    assert len(kept) == 26 and len({i for i, _ in kept} - {None, 500}) == 12
+    assert {r for r in kept if r[0] not in (None, 500)} == {r for r in rows if r[0] < 100} and (None, twin) in kept
+
+
 def test_link_matrix_matches_sets():
     g = np.random.default_rng(0)
     sets = [np.unique(g.integers(0, 60, 40).astype(np.uint64)) for _ in range(12)]
