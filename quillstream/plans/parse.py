@@ -71,9 +71,12 @@ def segments_of(texts: DataFrame, options: Options, planner: Callable[[list[str]
     return packing.explode_segments(arrays)
 
 
-def parse(rows: DataFrame, options: Options | None = None, backend=labels.KeywordBackend, planner=None, remote=None) -> DataFrame:
-    """rows: doc_id, text, filename, content. One nested row a document; failures have status 'error'."""
+def parse(rows: DataFrame, options: Options | None = None, backend=labels.KeywordBackend, planner=None, remote=None, chunker=None) -> DataFrame:
+    """rows: doc_id, text, filename, content. One nested row a document; failures have status 'error'.
+    Semantic chunks of chunk_size need `chunker`, called as chunker(content, how many chunks) for a list of texts."""
     options = options or Options()
+    if options.chunk_size and options.chunk_method == "semantic" and chunker is None:
+        raise ValueError("chunk_method 'semantic' needs a chunker")
     got = documents.inputs(rows, remote)
     good, bad = got.where("error is null"), got.where("error is not null")
     tagged = labels.label_segments(segments_of(good, options, planner), backend)
@@ -84,7 +87,9 @@ def parse(rows: DataFrame, options: Options | None = None, backend=labels.Keywor
     body = rest.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "content"))), lambda x: x.content), "\n").alias("body"))
     heads = heads.join(body, "doc_id", "left").select("doc_id", "title", F.coalesce("abstract", assemble.default_abstract(F.col("body"))).alias("abstract"))
     if options.chunk_size:
-        pieces = chunks.number_chunks(chunks.chunk_segments(rest, options.chunk_size, options.overlap))
+        semantic = options.chunk_method == "semantic"
+        cut = chunks.semantic_chunks(rest, chunker, options.chunk_size) if semantic else chunks.chunk_segments(rest, options.chunk_size, options.overlap)
+        pieces = chunks.number_chunks(cut)
         rest = assemble.attach_chunks(rest, pieces, options.chunk_size, options.overlap, options.chunk_method)
     out = assemble.nest(heads, rest)
     empty = out.schema["segments"].dataType

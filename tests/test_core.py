@@ -181,3 +181,12 @@ def test_parse_end_to_end(spark):
     for mode in ({"mode": "unified"}, {"segment_mode": "semantic"}):
         assert parse.parse(rows, parse.Options(**mode)).where("status = 'success'").count() == 1
     assert len(V.TAGS) == 13
+
+
+def test_parse_semantic_chunks(spark):
+    rows = spark.createDataFrame([(1, "标题 甲\n\n" + "正文。" * 60, None, None)], "doc_id long, text string, filename string, content binary")
+    options = parse.Options(chunk_size=100, chunk_method="semantic")
+    got = parse.parse(rows, options, chunker=lambda c, n: [c[:40], c[40:]]).first()
+    assert [40] in [[len(c.content) for c in s.chunks][:1] for s in got.segments if len(s.content) > 100]
+    with pytest.raises(ValueError):
+        parse.parse(rows, options)
