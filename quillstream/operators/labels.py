@@ -22,7 +22,7 @@ class Backend(Protocol):
 
 
 class KeywordBackend:
-    """Needs no service: the first tag whose keyword a text's beginning contains."""
+    """Needs no service: the first tag whose keyword a text contains."""
 
     def __init__(self, confidence: float = 0.6):
         self.confidence = confidence
@@ -30,8 +30,8 @@ class KeywordBackend:
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
         out = []
         for t in texts:
-            head = t[:500].lower()
-            tag = next((tag for tag, words in V.TAG_KEYWORDS if any(w in head for w in words.split())), None)
+            whole = t.lower()
+            tag = next((tag for tag, words in V.TAG_KEYWORDS if any(w in whole for w in words.split())), None)
             out.append((tag or V.OTHER, self.confidence if tag else 0.5))
         return out
 

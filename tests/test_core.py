@@ -183,6 +183,11 @@ def test_parse_end_to_end(spark):
     assert len(V.TAGS) == 13
 
 
+def test_keywords_of_whole_segment():
+    tag, words = V.TAG_KEYWORDS[0]
+    assert labels.KeywordBackend().label(["。" * 3000 + words.split()[0]]) == [(tag, 0.6)]
+
+
 def test_parse_semantic_chunks(spark):
     rows = spark.createDataFrame([(1, "标题 甲\n\n" + "正文。" * 60, None, None)], "doc_id long, text string, filename string, content binary")
     options = parse.Options(chunk_size=100, chunk_method="semantic")
