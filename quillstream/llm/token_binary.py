@@ -112,19 +112,24 @@ def pack_file(ids: list[int], payloads: list[bytes], level: int = 1) -> bytes:
 
 
 class FileReader:
-    """Reads documents of one file, given as bytes or as a function (start, end) -> bytes and a size."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        if data[-4:] != SEEKABLE:
+    """Reads documents of one file, given as bytes or as a function (start, end) -> bytes and a size; of
+    the function only the seek table, the directory and the wanted frames are asked. read_token_files() loads whole files."""
+
+    def __init__(self, data, size: int | None = None):
+        if callable(data):
+            self.read = data
+        else:
+            self.read, size = lambda a, b: data[a:b], len(data)
+        tail = self.read(max(0, size - 9), size)
+        if len(tail) < 9 or tail[-4:] != SEEKABLE:
             raise ValueError("no seek table")
-        n, descriptor = struct.unpack_from("<IB", data, len(data) - 9)
+        n, descriptor = struct.unpack_from("<IB", tail)
         if descriptor != 0x80:
             raise ValueError("the seek table has no checksums, or an unknown descriptor")
-        start = len(data) - 9 - 12 * n
-        if struct.unpack_from("<II", data, start - 8) != (SEEK_TABLE, 12 * n + 9):
+        start = size - 9 - 12 * n
+        if start < 8 or struct.unpack("<II", self.read(start - 8, start)) != (SEEK_TABLE, 12 * n + 9):
             raise ValueError("the seek table's frame is broken")
-        self.table = np.frombuffer(data, "<u4", 3 * n, start).reshape(n, 3)
+        self.table = np.frombuffer(self.read(start, start + 12 * n), "<u4").reshape(n, 3)
         self.offsets = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
         if self.offsets[-1] != start - 8:
             raise ValueError("the frames' sizes don't add up")
@@ -136,7 +141,7 @@ class FileReader:
     def _frame(self, i: int) -> bytes:
         _, size, check = (int(x) for x in self.table[i])
         try:
-            plain = self.z.decompress(self.data[self.offsets[i] : self.offsets[i + 1]], max_output_size=size)
+            plain = self.z.decompress(self.read(int(self.offsets[i]), int(self.offsets[i + 1])), max_output_size=size)
         except zstandard.ZstdError as e:
             raise ValueError(f"frame {i} is damaged") from e
         if len(plain) != size or xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != check:

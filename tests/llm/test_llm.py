@@ -71,6 +71,15 @@ def test_token_files(spark):
         token_binary.FileReader(data[:30] + b"!" + data[31:]).lookup(4)
 
 
+def test_token_file_by_ranges():
+    data = token_binary.pack_file([4, 9], [bytes(range(256)) * 40, b"\2\0\0\0" * 3])
+    asked = []
+    reader = token_binary.FileReader(lambda a, b: asked.append((a, b)) or data[a:b], len(data))
+    assert reader.lookup(9) == [b"\2\0\0\0" * 3]
+    first = (int(reader.offsets[1]), int(reader.offsets[2]))  # the frame of document 4
+    assert all(b <= first[0] or a >= first[1] for a, b in asked)
+
+
 def test_warc(spark):
     rows = [(3, "u", "<p>x</p>", "t", 1), (1, None, "<p>x</p>", None, 2), (2, "v\r\nw", None, "t", 3), (4, "w", "", "t", 4), (None, "z", "<p>é</p>", "t", 5)]
     got = {r.page_id: r for r in warc.archives(pages(spark, rows)).collect()}
