@@ -14,12 +14,26 @@ import ahocorasick
 _INF = float("inf")
 
 
+def byte_symbols() -> list[str]:
+    """The printable stand-ins of the 256 bytes in byte-level vocabularies: printable ones stand for
+    themselves, the others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out, n = [""] * 256, 0
+    for b in range(256):
+        if b in shown:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(256 + n)
+            n += 1
+    return out
+
+
 class MergeLattice:
     """pieces: the texts that are tokens, single symbols among them. rank(a, b): priority of merging two
     adjacent tokens (smaller first), None where they don't merge. Tokens are known by their number in
     pieces. Texts must consist of symbols that are pieces; others never merge, so callers cut there."""
 
-    def __init__(self, pieces: list[str], rank: Callable[[str, str], float | None], keep: int = 2_000_000):
+    def __init__(self, pieces: list[str], rank: Callable[[str, str], float | None], keep: int = 400_000):
         self.rank = rank
         self.keep = keep
         self.pieces = pieces
@@ -34,6 +48,10 @@ class MergeLattice:
             self.ends.add_word(p, (len(p), i))
         self.ends.make_automaton()
 
+    def forget(self) -> None:
+        """Empty the table of pairs looked at so far."""
+        self.pair.clear()
+
     def merge(self, text: str) -> tuple[list[str], tuple[float, str, str] | None]:
         """The encoding by repeated best merge, and the last merge made; for short texts."""
         parts, made = list(text), None

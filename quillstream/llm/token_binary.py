@@ -17,24 +17,31 @@ stay repeated, in an arbitrary but single order; other columns are ignored; an e
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import drop, materialize, new_path
-from quillstream.llm.zstd_frames import frames, read_files, skippable, write_rows
+from quillstream.llm.bpe import byte_symbols
+from quillstream.llm.common import bound_batches, drop, materialize, new_path, tidy
+from quillstream.llm.zstd_frames import read_files, skippable, write_rows
 
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = struct.pack("<I", 0x8F92EAB1)
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
 _BY_FILE: dict[str, "ChunkEncoder"] = {}
+PLAIN = "\u0250"
+STOPS = (".", ",")
+#: Normalizers (composed forms, white space, small letters) and pre-tokenizers (pieces by a pattern, bytes as
+#: symbols) as (type, behavior, invert, add_prefix_space, use_regex).
+STEPS = [("NFC", None, None, None, None), ("Replace", None, None, None, None), ("Lowercase", None, None, None, None), ("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
 #: Texts whose words are held at a time.
 SLICE = 128
 #: Stands for a null doc_id in a file's directory.
@@ -43,11 +50,13 @@ NO_ID = -(2**63)
 
 class ChunkEncoder:
     """The library's ids of whole texts. White space always ends a word for vocabularies that drop it, so
-    stretches between spaces are encoded once each and remembered (bounded, then emptied)."""
+    stretches between spaces are encoded once each and remembered (bounded, then emptied).
 
-    def __init__(self, path: str, keep: int = 600_000):
-        import os
+    The library's whole encode() follows each character through normalizer and pre-tokenizer. For plain words
+    (printable characters below PLAIN, where small letters and composed forms are beyond doubt) of a vocabulary with
+    the steps in STEPS these come down to small letters and the pattern; the library's model then gets the pieces."""
 
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,43 +65,74 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.keep = keep
         self.seen: dict[str, bytes] = {}
+        self.size = self.tokenizer.get_vocab_size()
+        #: Bytes of an id on its way to a file.
+        self.kind, self.code = ("<u2", "H") if self.size <= 2**16 else ("<u4", "I")
         # A vocabulary that keeps white space gives "a b" other ids than "a" and "b".
-        probe = [self._ids(x) for x in ("ab cd", "ab", "cd", "ab \n\tcd")]
-        self.folds = self._ids("Ab cD.") == self._ids("ab cd .") and self._ids("é1,") == self._ids("É1 ,")
+        probe = [self._library([x])[0] for x in ("ab cd", "ab", "cd", "ab \n\tcd")]
         self.by_word = probe[0] == probe[1] + probe[2] == probe[3]
+        self.pieces = self._pattern(json.loads(self.tokenizer.to_str()))
+        self.symbols = dict(enumerate(byte_symbols()))
+
+    @staticmethod
+    def _pattern(spec: dict):
+        """The pattern of the pieces of a word where the vocabulary takes STEPS and no others, else None."""
+        steps = [x for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec.get(part) or {}).get(inner, [])]
+        if [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in steps] != STEPS or spec["model"]["type"] != "BPE":
+            return None
+        return regex.compile(steps[3]["pattern"]["Regex"])
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids as little-endian unsigned integers of `kind`."""
         if not self.by_word:
-            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return self._library([t or "" for t in texts])
         return [x for at in range(0, len(texts), SLICE) for x in self._words(texts[at : at + SLICE])]
 
-    def _simple(self, text: str) -> str:
-        """A text with the same ids but fewer different words: small letters, and full stops and commas
-        apart from the word before. Only where the vocabulary does the same, and for characters whose
-        small letters and composed forms are beyond doubt (Latin)."""
-        if not self.folds or "<|" in text or max(text) >= "\u0250":
-            return text
-        return _STOP.sub(r" \1", text.lower())
+    def _direct(self, word: str) -> bytes:
+        model, out = self.tokenizer.model.tokenize, []
+        for p in (word,) if word.isalpha() else self.pieces.findall(word):
+            out += [t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols))]
+        return struct.pack(f"<{len(out)}{self.code}", *out)
+
+    def _plain(self, small: str) -> bytes:
+        """Ids of a plain word in small letters; a full stop or comma at its end is a piece of its own."""
+        base, stop = small[:-1], small[-1:]
+        if stop not in STOPS or not base.isalpha():
+            return self._direct(small)
+        return (self.seen.get(base) or self._direct(base)) + (self.seen.get(stop) or self._direct(stop))
 
     def _words(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._simple(t).replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [_small(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         seen = self.seen
         if len(seen) >= self.keep:
             seen.clear()
-        new = {w for ws in split for w in ws}
-        new = [w for w in new if w not in seen]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, x in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                ids = x.ids
-                seen[w] = struct.pack(f"<{len(ids)}I", *ids)
+        new = {w for ws in split for w in ws}.difference(seen)
+        odd = []
+        for w in new:
+            small = w.lower()
+            if self.pieces is None or "<|" in w or not w.isprintable() or not w.isascii() and (max(w) >= PLAIN or max(small) >= PLAIN):
+                odd.append(w)
+            elif w not in seen:
+                seen[w] = self._plain(small)
+        for at in range(0, len(odd), 20_000):
+            part = odd[at : at + 20_000]
+            seen.update(zip(part, self._library(part)))
         return [b"".join(map(seen.__getitem__, ws)) for ws in split]
 
 
+def _small(text: str) -> str:
+    """Latin-1 texts in small letters, which leaves fewer different words; others as they are."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 def encoder(path: str) -> ChunkEncoder:
     if path not in _BY_FILE:
         _BY_FILE[path] = ChunkEncoder(path)
@@ -113,7 +153,7 @@ def pack_file(ids: list[int], payloads: list[bytes], level: int = 1) -> bytes:
 
 class FileReader:
     """Reads documents of one file, given as bytes or as a function (start, end) -> bytes and a size; of
-    the function only the seek table, the directory and the wanted frames are asked. read_token_files() loads whole files."""
+    the function only the seek table, the directory and the wanted frames are asked."""
 
     def __init__(self, data, size: int | None = None):
         if callable(data):
@@ -159,16 +199,17 @@ class FileReader:
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str, file_tokens: int = 4_000_000) -> int:
     """Encode, order by doc_id and write the files of a folder; returns how many were asked for."""
     spark = docs.sparkSession
+    bound_batches(spark)
     # On the way to its file an id takes two bytes where the vocabulary allows it.
-    short = max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id) < 2**16
+    kind = encoder(vocabulary).kind
+    if not 0 <= end_id < 256 ** np.dtype(kind).itemsize:
+        raise ValueError("the end id doesn't fit the vocabulary")
 
     def encode(batches):
         e = encoder(vocabulary)
-        end = struct.pack("<I", end_id)
+        end = struct.pack("<" + e.code, end_id)
         for b in batches:
             got = [x + end for x in e.encode(b.column("text").to_pylist())]
-            if short:
-                got = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "ids"])
 
     def pack(batches):
@@ -176,18 +217,18 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
         for b in batches:
             for i, p in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
                 ids.append(NO_ID if i is None else i)
-                payloads.append(np.frombuffer(p, "<u2").astype("<u4").tobytes() if short else p)
+                payloads.append(np.frombuffer(p, kind).astype("<u4").tobytes())
                 size += len(p)
         if ids:  # the last four bytes come from the writer
             yield pa.RecordBatch.from_arrays([pa.array([pack_file(ids, payloads)[:-4]], pa.binary())], names=["file"])
 
     encoded, held = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary"),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(encode, lambda: encoder(vocabulary).seen.clear()), "doc_id long, ids binary"),
         "token-ids",
     )
     total = encoded.agg(F.sum(F.length("ids"))).first()[0] or 0
-    n = max(1, -(-total // ((2 if short else 4) * file_tokens)), spark.sparkContext.defaultParallelism)
-    files = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(pack, "file binary")
+    n = max(1, -(-total // (np.dtype(kind).itemsize * file_tokens)), spark.sparkContext.defaultParallelism)
+    files = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(tidy(pack), "file binary")
     write_rows(files, "file", path, SEEKABLE)
     drop(spark, held)
     return n
@@ -199,18 +240,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                for _ in frames(data):  # the whole file consists of sound frames
-                    pass
-                r = FileReader(data)
-                plain = [r.document(i) for i in range(len(r.ids))]
-                sizes = np.array([len(p) // 4 for p in plain], np.int64)
+            for k in range(b.num_rows):
+                r = FileReader(b.column("content")[k].as_py())
+                sizes, sums = np.empty(len(r.ids), np.int64), np.empty(len(r.ids), np.int64)
+                for i in range(len(r.ids)):
+                    plain = r.document(i)
+                    sizes[i], sums[i] = len(plain) // 4, zlib.crc32(plain)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(plain)), pa.array(np.cumsum(sizes) - sizes, pa.int64()), pa.array([None if i == NO_ID else int(i) for i in r.ids], pa.int64()), pa.array(sizes), pa.array([zlib.crc32(p) for p in plain], pa.int64())],
+                    [pa.array([b.column("path")[k].as_py()] * len(sizes)), pa.array(np.cumsum(sizes) - sizes), pa.array(r.ids, mask=r.ids == NO_ID), pa.array(sizes), pa.array(sums)],
                     names=["file", "inner", "doc_id", "n_tokens", "ids_crc32"],
                 )
 
-    rows, _ = materialize(read_files(spark, path).mapInArrow(read, own), "token-rows")
+    rows, _ = materialize(read_files(spark, path).mapInArrow(tidy(read), own), "token-rows")
     # One row a file: how many ids the files before it hold. Files hold disjoint ranges of doc_id.
     per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("tokens"), F.min("doc_id").alias("least"))
     before = Window.orderBy(F.col("least").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -218,6 +259,41 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of the documents asked for, from the files of a folder: of each file the seek table, the
+    directory and the frames of these documents are decompressed and no others. The list is the caller's."""
+    wanted = sorted(set(doc_ids))
+
+    def read(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                r = FileReader(b.column("content")[k].as_py())
+                at = np.flatnonzero(np.isin(r.ids, wanted))
+                if len(at):
+                    ids = [np.frombuffer(r.document(int(i)), "<u4").astype(np.int64) for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(r.ids[at]), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return read_files(spark, path).mapInArrow(tidy(read), "doc_id long, ids array<long>")
+
+
+def open_file(spark: SparkSession, file: str) -> FileReader:
+    """A reader of one file on any file system that Spark reaches, from the driver, by ranges: whatever is not
+    asked for is not read either."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(file)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(start: int, end: int) -> bytes:
+        stream = fs.open(at)
+        try:
+            stream.seek(start)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, end - start))
+        finally:
+            stream.close()
+
+    return FileReader(read, fs.getFileStatus(at).getLen())
+
+
 def token_files(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Write the token files of docs and read them back."""
     path = new_path(docs.sparkSession, "tokens")
