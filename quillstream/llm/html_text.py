@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+from quillstream.llm.common import bound_batches, tidy
+
+_NAME_OF_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Elements whose content is no text of the page, by the end tag that closes them.
+_HIDDEN = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style noscript template svg iframe object".split()}
+_QUOTED = re.compile(r"=\s*([\"'])")
 _ATTR = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +65,52 @@ _SIGNS = [
 _END = re.compile(r"[.!?。！？…\"'”»)]$")
 
 
+def tokens(html: str):
+    """(start, end, tag, attributes, closing) of each piece of markup: tag is None for comments and declarations,
+    and the name of a hidden element, with its content, has a "!" before it. Linear in the page's length.
+
+    As browsers do, a quote counts only after an equals sign and hides > up to the next quote of its kind; where
+    there is none, and in a tag that is never closed, what follows is read as if there were no quote or no tag."""
+    at, n = 0, len(html)
+    last_gt, last = html.rfind(">"), {q: html.rfind(q) for q in "\"'"}
+    while (at := html.find("<", at)) >= 0:
+        follow = html[at + 1 : at + 2]
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, None, "", False
+            at = end
+            continue
+        m = _NAME_OF_TAG.match(html, at) if at < last_gt else None
+        if m is None and follow not in ("!", "?", "/") or at > last_gt:
+            at += 1
+            continue
+        if m is None:
+            end = html.find(">", at) + 1
+            yield at, end, None, "", False
+            at = end
+            continue
+        end, look = html.find(">", m.end()), m.end()
+        while q := _QUOTED.search(html, look, end):
+            look = q.end()
+            if look > last[q.group(1)]:  # never closed
+                continue
+            shut = html.find(q.group(1), look)
+            if shut > last_gt:
+                break
+            look = shut + 1
+            end = max(end, html.find(">", look))
+        tag = m.group(1).lower()
+        closing = html[at + 1] == "/"
+        rest = html[m.end() : end]
+        if not closing and tag in _HIDDEN:
+            stop = _HIDDEN[tag].search(html, end + 1)
+            shut = html.find(">", stop.end()) if stop else -1
+            end, tag = (shut if shut >= 0 else n - 1), "!" + tag
+        yield at, end + 1, tag, rest, closing
+        at = end + 1
+
+
 class Block:
     __slots__ = ("text", "features")
 
@@ -92,8 +139,7 @@ def blocks(html: str | None) -> list[Block]:
 
     known = _FEATURES_OF
     links = 0
-    for m in _TOKEN.finditer(html):
-        s = m.start()
+    for s, end, tag, rest, closing in tokens(html):
         if s > at:
             t = html[at:s]
             if "&" in t:
@@ -101,14 +147,12 @@ def blocks(html: str | None) -> list[Block]:
             text.append(t)
             if links:
                 linked += len(t)
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            if m.group(1):
+        at = end
+        if tag is None or tag[0] == "!":
+            if tag:
                 text.append(" ")
             continue
-        tag = tag.lower()
-        if m.group(2):
+        if closing:
             if tag not in _INLINE:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -130,8 +174,7 @@ def blocks(html: str | None) -> list[Block]:
                 stack.pop()
             if stack and stack[-1][0] == tag and tag in ("p", "li", "td", "tr", "option", "dt", "dd"):
                 stack.pop()
-        rest = m.group(4)
-        if tag in _VOID or rest.endswith("/"):
+        if tag in _VOID:
             continue
         up = stack[-1] if stack else ("", none, "")
         key = (tag, rest if "=" in rest and tag not in _INLINE else "")
@@ -177,6 +220,8 @@ def _text_features(t: str, linked: int, near: str, k: int, n: int) -> list[str]:
         f.append("first")
     if k == n - 1:
         f.append("last")
+    if n < 4:
+        f.append("few:div" if near == "div" else "few")
     if words < 60:
         f += [name for name, p in _SIGNS if p.search(t)]
     return f
@@ -259,7 +304,7 @@ class Crf:
         return out[::-1]
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 360, seed: int = 5) -> list[tuple[str, list[int]]]:
     """Pages of invented words with the label of each leaf block (1: main text), in page order."""
     g = random.Random(seed)
     syllables = "ka lo mi ren tus va del or in est an po qui sel dra ne fu al ti mer".split()
@@ -311,11 +356,15 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
     pages = []
     for _ in range(n):
         title = words(3, 10).capitalize()
-        inner, marks = [f"<h1>{title}</h1>"], [1]
-        for _ in range(g.randint(1, 9)):
-            roll = g.random()
+        # A third of the pages has no heading; some are a paragraph or two and nothing else.
+        bare = g.random() < 0.25
+        inner, marks = ([], []) if g.random() < (0.7 if bare else 0.3) else ([f"<h1>{title}</h1>"], [1])
+        count = g.randint(1, 3) if bare else g.randint(1, 9)
+        around = g.choice(["<p>{}</p>", "<div>{}</div>", "{}" if count == 1 else "<div>{}</div>"]) if bare else "<p>{}</p>"
+        for _ in range(count):
+            roll = 0.0 if bare else g.random()
             if roll < 0.75:
-                inner.append(f"<p>{para()}</p>")
+                inner.append(around.format(para()))
                 marks.append(1)
             elif roll < 0.82:
                 inner.append(f"<h2>{words(2, 6)}</h2>")
@@ -335,24 +384,26 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
                 h, y = boiler(g.choice(["ad", "share", "note", "side", "talk"]))
                 inner.append(h)
                 marks += y
-        wrap = g.choice(
+        wrap = g.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "{}", "{}"] if bare else
             ["<article>{}</article>"] * 4 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="post" class="entry">{}</div>', '<div class="story-body">{}</div>', "<div>{}</div>", "{}"]
         )
         parts = [(wrap.format("".join(inner)), marks)]
-        for kind in g.sample(["ad", "note", "share"], g.randint(0, 2)):
+        for kind in g.sample(["ad", "note", "share"], 0 if bare else g.randint(0, 2)):
             parts.insert(0, boiler(kind))
-        if g.random() < 0.85:
+        if not bare and g.random() < 0.85:
             parts.insert(0, menu())
-        if g.random() < 0.4:
+        if not bare and g.random() < 0.4:
             parts.insert(0, head())
-        for kind in g.sample(["side", "form", "talk", "ad", "note"], g.randint(0, 3)):
+        for kind in g.sample(["side", "form", "talk", "ad", "note"], 0 if bare else g.randint(0, 3)):
             parts.append(boiler(kind))
-        if g.random() < 0.85:
+        if not bare and g.random() < 0.85:
             parts.append(boiler("foot"))
         page, labels = f"<!DOCTYPE html><html><head><title>{title}</title><script>var a='</p>';</script></head><body>", [0]
+        if g.random() < (0.6 if bare else 0.1):  # no head, perhaps no body either
+            page, labels = g.choice(["<html><body>", "<body>", ""]), []
         for h, y in parts:
             page, labels = page + h, labels + y
-        pages.append((page + "</body></html>", labels))
+        pages.append((page + "</body></html>" if "<body>" in page else page, labels))
     return pages
 
 
@@ -382,5 +433,6 @@ def extract(pages: DataFrame, model: Crf | None = None) -> DataFrame:
             texts = [main_text(h, model) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return src.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
