@@ -5,16 +5,20 @@ windows). Texts that fail the base rules are out. For the others a vector of tra
 with its language and source: location and scatter come from the minimum-covariance-determinant method, and
 a vector whose squared Mahalanobis distance is beyond a chi-square quantile is rejected.
 
-The estimate is deterministic: it starts from medians and spreads, then concentration steps refit it to the
-three quarters of a group's rows that are nearest, scaled so that half of the rows lie within the
-chi-square median of as many degrees as there are statistics with scatter of their own. `FLOOR` is added to the
-variances (as in the regularised form of the method), since most texts have no symbol or repetition at all and
-a scatter without it would be singular. Groups of fewer than
-MIN_GROUP rows are estimated together; without MIN_ROWS rows there is no verdict and the row is kept.
+The estimate is deterministic: concentration steps run from three starts (medians with quartile spreads; means with
+the scatter of all rows; medians with equal scatter). A step refits means and scatter to the three quarters of a
+group's rows that are nearest, which never raises the scatter's determinant; steps go on until no start's
+determinant falls any more, and the start with the least one counts. The core is exact in groups of up to
+EXACT rows (the rank of its edge is off by a 1/EXACT of the rows at most in larger ones). `FLOOR` is added to the
+variances (as in the regularised form of the method), since most texts have no symbol or repetition at all and a
+scatter without it would be singular. Then a group of n rows keeps n / (n + SHRINK_MEANS) of its own means and
+n / (n + SHRINK_SCATTER) of its own scatter, the rest comes from all groups' rows, so a small group is judged
+by the others' scatter and a large one by its own. Distances are scaled so that half of a group's rows lie
+within the chi-square median of as many degrees as there are statistics with scatter of their own.
 
 Scale: one map over texts writes vectors of a few numbers; a concentration step is two aggregations over these,
-combined before their shuffles, and a join with one row a group, which Spark broadcasts if it is small and
-whose large partitions it splits if not.
+combined before their shuffles. Models have a row a group and start: they are counted, and broadcast up to
+BROADCAST_ROWS; beyond it Spark splits the large partitions of their joins.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and sources are
 groups of their own; repeated rows and null ids keep their rows; other columns are ignored.
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import drop, materialize
+from quillstream.llm.common import bound_batches, drop, materialize, tidy
 
 D = 4
 #: Standard deviations below which a statistic's spread is not taken to lie: log mean word length, and the
@@ -39,9 +43,11 @@ FLOOR = (0.005, 0.01, 0.05, 0.05)
 #: Chi-square medians of 1 to D degrees.
 MEDIANS = (0.4549364, 1.3862944, 2.3659739, 3.3566940)
 CORE = 0.75
-STEPS = 3
+STEPS = 20
 QUANTILE = 0.9999
-MIN_GROUP, MIN_ROWS = 40, 8
+SHRINK_MEANS, SHRINK_SCATTER = 5, 40
+EXACT = 100_000
+BROADCAST_ROWS = 20_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -114,33 +120,44 @@ def base_table(docs: DataFrame) -> DataFrame:
         F.to_json(F.struct(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))).alias("grp"),
         F.col("text").cast("string").alias("text"),
     )
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
+
+
+_PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+_MEANS, _SCATTER, _INVERSE = [f"m{i}" for i in range(D)], [f"c{i}{j}" for i, j in _PAIRS], [f"v{i}{j}" for i, j in _PAIRS]
+
+
+def _matrix(row: dict, floor: bool = True) -> np.ndarray:
+    c = np.diag(np.array(FLOOR) ** 2) if floor else np.zeros((D, D))
+    for (i, j), name in zip(_PAIRS, _SCATTER):
+        c[i, j] += row[name] or 0.0
+        if i != j:
+            c[j, i] = c[i, j]
+    return c
 
 
 def _invert(moments: DataFrame) -> DataFrame:
-    """Group rows of means m0.. and covariances c00.. to a model: means, the inverse of the floored scatter and the
-    number of statistics whose own scatter is above the floor."""
-    pairs = [(i, j) for i in range(D) for j in range(i, D)]
-    names = ["grp", "rows", *(f"m{i}" for i in range(D)), *(f"v{i}{j}" for i, j in pairs), "dims"]
+    """Adds to rows of means m0.. and covariances c00.. the inverse v00.. of the floored scatter, the logarithm of its
+    determinant and the number of statistics whose own scatter is above the floor."""
+    kept = [f.name for f in moments.schema.fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moments.schema.fields)
 
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                c = np.diag(np.array(FLOOR) ** 2)
-                for i, j in pairs:
-                    v = r[f"c{i}{j}"] or 0.0
-                    c[i, j] += v
-                    if i != j:
-                        c[j, i] += v
-                dims = int((np.diag(c) > 2 * np.array(FLOOR) ** 2).sum())
-                inv = np.linalg.inv(c)
-                out.append([r["grp"], r["rows"], *(r[f"m{i}"] for i in range(D)), *(float(inv[i, j]) for i, j in pairs), dims])
-            cols = list(zip(*out)) if out else [[] for _ in names]
-            kinds = [pa.string(), pa.int64()] + [pa.float64()] * (len(names) - 3) + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-    return moments.mapInArrow(run, "grp string, rows long, " + ", ".join(f"{n} double" for n in names[2:-1]) + ", dims int")
+            rows = b.to_pylist()
+            full = [_matrix(r) for r in rows]
+            inv = [np.linalg.inv(c) for c in full]
+            cols = [pa.array([float(x[i, j]) for x in inv], pa.float64()) for i, j in _PAIRS]
+            logdet = pa.array([float(np.linalg.slogdet(c)[1]) for c in full], pa.float64())
+            dims = pa.array([int((np.diag(c) > 2 * np.array(FLOOR) ** 2).sum()) for c in full], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols, logdet, dims], names=[*kept, *_INVERSE, "logdet", "dims"])
+
+    return moments.mapInArrow(run, schema + ", " + ", ".join(f"{n} double" for n in _INVERSE) + ", logdet double, dims int")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of models, marked for broadcast if it has at most BROADCAST_ROWS rows (of some 30 numbers)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _distance():
@@ -153,42 +170,71 @@ def _distance():
     return total
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """rows: grp and x0... Returns a model row a group: rows, means, inverse scatter and `unit`, which divides
-    squared distances."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Rows of grp, start, means and covariances: where the concentration steps begin."""
+    x = [f"x{i}" for i in range(D)]
+    mid = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i, c in enumerate(x)]
+    facts = rows.groupBy("grp").agg(*mid, *(F.avg(c).alias(f"a{i}") for i, c in enumerate(x)), *(F.covar_pop(x[i], x[j]).alias(f"s{i}{j}") for i, j in _PAIRS))
+    middle = [F.col(f"p{i}")[1] for i in range(D)]
+    spread = [F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) for i in range(D)]
+    diagonal = lambda values: [values[i] if i == j else F.lit(0.0) for i, j in _PAIRS]
+    starts = [
+        (middle, diagonal(spread)),
+        ([F.col(f"a{i}") for i in range(D)], [F.col(f"s{i}{j}") for i, j in _PAIRS]),
+        (middle, diagonal([F.lit(1.0)] * D)),
+    ]
+    made = [F.struct(F.lit(k).alias("start"), *(m.alias(n) for m, n in zip(means, _MEANS)), *(c.alias(n) for c, n in zip(scatter, _SCATTER))) for k, (means, scatter) in enumerate(starts)]
+    return facts.select("grp", F.explode(F.array(*made)).alias("s")).select("grp", "s.*")
+
+
+def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """rows: grp and x0... The minimum-covariance-determinant estimate of each group: means m0.., covariances c00..
+    of its core, logdet and dims (see _invert())."""
     spark = rows.sparkSession
-    mid = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(D)]
-    spread = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), *mid)
-    first = spread.select(
-        "grp", "rows", *(F.col(f"p{i}")[1].alias(f"m{i}") for i in range(D)),
-        *((F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(D) for j in range(i, D)),
-    )
-    model, path = materialize(_invert(first), "mcd")
-    for _ in range(STEPS):
-        far = rows.join(model, "grp").select("grp", *(f"x{i}" for i in range(D)), _distance().alias("d2"))
-        edge, p1 = materialize(far.groupBy("grp").agg(F.percentile_approx("d2", CORE, 2000).alias("edge")), "mcd-edge")
-        core = far.join(edge, "grp").where("d2 <= edge")
-        moments = core.groupBy("grp").agg(
-            F.count(F.lit(1)).alias("rows"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(D)),
-            *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(D) for j in range(i, D)),
+    x = [f"x{i}" for i in range(D)]
+    model, path = materialize(_invert(_starts(rows)), "mcd")
+    best = None
+    for _ in range(steps):
+        far = rows.join(_small(model.select("grp", "start", *_MEANS, *_INVERSE)), "grp").select("grp", "start", *x, _distance().alias("d2"))
+        edge, p1 = materialize(far.groupBy("grp", "start").agg(F.percentile_approx("d2", CORE, EXACT).alias("edge")), "mcd-edge")
+        core = far.join(_small(edge), ["grp", "start"]).where("d2 <= edge")
+        moments = core.groupBy("grp", "start").agg(
+            *(F.avg(c).alias(n) for c, n in zip(x, _MEANS)), *(F.covar_pop(x[i], x[j]).alias(n) for (i, j), n in zip(_PAIRS, _SCATTER))
         )
         new, p2 = materialize(_invert(moments), "mcd")
         drop(spark, path)
         drop(spark, p1)
         model, path = new, p2
+        now = model.agg(F.sum("logdet")).first()[0]
+        if now is None or best is not None and best - now < 1e-9:
+            break
+        best = now
+    return model.groupBy("grp").agg(*(F.min_by(n, F.struct("logdet", "start")).alias(n) for n in [*_MEANS, *_SCATTER, "logdet", "dims"]))
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """rows: grp and x0... Returns a model row a group: means, inverse scatter and `unit`, which divides squared
+    distances."""
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"))
+    own, _ = materialize(mcd(rows).drop("logdet", "dims").join(sizes, "grp"), "mcd-groups")
+    # All groups' rows: means and scatter within groups, weighted by rows.
+    share = F.col("rows").cast("double")
+    pooled = own.agg(*((F.sum(F.col(n) * share) / F.sum(share)).alias(n) for n in [*_MEANS, *_SCATTER])).first()
+    mixed = lambda n, k: ((F.col("rows") * F.col(n) + k * F.lit(pooled[n]).cast("double")) / (F.col("rows") + k)).alias(n)
+    shrunk = own.select("grp", *(mixed(n, SHRINK_MEANS) for n in _MEANS), *(mixed(n, SHRINK_SCATTER) for n in _SCATTER))
+    model, _ = materialize(_invert(shrunk), "mcd-models")
+    model = model.select("grp", *_MEANS, *_INVERSE, "dims")
     # The core's scatter is too small for all rows: half of the rows are to lie within the median distance.
-    half = rows.join(model, "grp").select("grp", _distance().alias("d2")).groupBy("grp").agg(F.percentile_approx("d2", 0.5, 2000).alias("half"), F.count(F.lit(1)).alias("rows"))
+    half = rows.join(_small(model), "grp").select("grp", _distance().alias("d2")).groupBy("grp").agg(F.percentile_approx("d2", 0.5, EXACT).alias("half"))
     median = F.element_at(F.array(*(F.lit(m) for m in MEDIANS)), F.greatest(F.col("dims"), F.lit(1)))
-    return model.drop("rows").join(half, "grp").withColumn("unit", F.greatest(F.lit(1.0), F.col("half") / median)).drop("half", "dims")
+    return model.join(half, "grp").withColumn("unit", F.greatest(F.lit(1.0), F.col("half") / median)).drop("half", "dims")
 
 
 def quality_rules(docs: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance2 (null without a verdict) and kept for every row."""
+    """doc_id, the base counts, base_failed, distance2 (null where the base rules fail) and kept for every row."""
+    bound_batches(docs.sparkSession)
     table, _ = materialize(base_table(docs), "rules")
-    good = table.where("not base_failed")
-    sizes, _ = materialize(good.groupBy("grp").count().where(F.col("count") < MIN_GROUP).select("grp", F.lit(True).alias("small")), "small-groups")
-    pooled = table.join(sizes, "grp", "left").withColumn("grp", F.when(F.col("small"), F.lit("*")).otherwise(F.col("grp"))).drop("small")
-    model, _ = materialize(fit(pooled.where("not base_failed")), "mcd-final")
-    judged = pooled.join(model, "grp", "left").withColumn("distance2", F.when(~F.col("base_failed") & (F.col("rows") >= MIN_ROWS), _distance() / F.col("unit")))
+    model, _ = materialize(fit(table.where("not base_failed")), "mcd-final")
+    judged = table.join(_small(model), "grp", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance() / F.col("unit")))
     kept = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= chi_square_quantile(quantile, D)))
     return judged.select("doc_id", *_BASE, "base_failed", "distance2", kept.alias("kept"))
