@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import crc_mod, labelled_sample, learning_rows
+from quillstream.llm.common import bound_batches, crc_mod, keep_rows, labelled_sample, learning_rows, tidy
 
 CUT = 0.7
 LEARN_ROWS = 20_000
@@ -95,15 +95,7 @@ class BradleyTerry:
         g = np.random.default_rng(seed)
         m = min(pairs, 4 * len(good) * len(bad))
         d = z[g.choice(good, m)] - z[g.choice(bad, m)]
-        w = np.zeros(z.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the bad one wins
-            grad = d.T @ p / m - ridge * w
-            hess = (d * (p * (1 - p))[:, None]).T @ d / m + ridge * np.eye(len(w))
-            step = np.linalg.solve(hess, grad)
-            w = w + step / max(1.0, np.linalg.norm(step) / 5)
-            if np.abs(step).max() < 1e-6:
-                break
+        w = cls.weights_of(d, ridge)
         s = z @ w
         shift = cls._threshold(s, y)
         # The logistic's gain fits the labelled rows; its value at the threshold is CUT.
@@ -115,6 +107,21 @@ class BradleyTerry:
             gain = min(max(gain + max(min(first / second, 1.0), -1.0), 0.05), 20.0)
         return cls(centre, scale, w, shift, gain)
 
+    @staticmethod
+    def weights_of(d: np.ndarray, ridge: float) -> np.ndarray:
+        """The weights that minimise the mean logistic loss on differences (the preferred one's features less the
+        other's) with a ridge, by Newton's method with bounded steps."""
+        w = np.zeros(d.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the other one wins
+            grad = d.T @ p / len(d) - ridge * w
+            hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+            step = np.linalg.solve(hess, grad)
+            w = w + step / max(1.0, np.linalg.norm(step) / 5)
+            if np.abs(step).max() < 1e-6:
+                break
+        return w
+
     @staticmethod
     def _threshold(s: np.ndarray, y: np.ndarray) -> float:
         """The score at the quantile, of a grid of thousandths, that gives most right labels; of equal ones
@@ -140,6 +147,7 @@ class BradleyTerry:
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> BradleyTerry:
     """Fit on labelled documents whose crc32(doc_id) mod 4 is not 2."""
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(labels, "quality", HELD_MOD, HELD_REST, limit)
 
     def run(batches):
@@ -147,12 +155,13 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Bradle
             x = matrix(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = learning_rows(docs, sample).select("doc_id", "y", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, y int, x array<double>").orderBy("doc_id").collect() if sample else []
+    rows = learning_rows(docs, sample).select("doc_id", "y", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, y int, x array<double>").orderBy("doc_id").collect() if sample else []
     return BradleyTerry.fit(np.array([r.x for r in rows], np.float64).reshape(len(rows), len(statistics(None))), np.array([r.y for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -160,18 +169,10 @@ def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", HELD_MOD) == HELD_REST).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
-
-
-def keep_scored(docs: DataFrame, model, keep) -> DataFrame:
-    """The rows of docs, with all their columns, whose score meets keep(scores) -> mask."""
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(keep(model.score(b.column("text").to_pylist())), pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return src.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return keep_scored(docs, learn(docs, labels), lambda s: s >= CUT)
+    """The rows of docs, with all their columns, that are predicted to be good."""
+    model = learn(docs, labels)
+    return keep_rows(docs, lambda texts: model.score(texts) >= CUT)

@@ -1,12 +1,12 @@
 """Operator 9, toxicity by weak supervision.
 
-Voters: lexicons and patterns, each voting toxic, clean or nothing on a text. Besides fixed voters (insults,
-insults with emphasis, phrases of address) lexicons of words and of word beginnings are induced from the
-rows that may be learnt from and dealt into several voters each. A generative label model, fitted to the votes
-alone by expectation-maximisation, estimates each voter's rates of votes in either class; correlated voters
-(their votes agree beyond what the classes explain) share their weight. Its posteriors are the labels on
-which a logistic classifier over hashed words and word beginnings is trained; only features that go with
-the posteriors are kept, so long clean texts gather no noise.
+Voters: lexicons and patterns, each voting toxic, clean or nothing on a text. Besides fixed voters (insults in four
+languages, insults with emphasis, phrases of address) lexicons of words and of word beginnings are induced from the
+rows that may be learnt from and dealt into several voters each. A generative label model, fitted to the votes by
+expectation-maximisation, estimates each voter's rates of votes in either class. Voters whose votes agree beyond
+what the classes explain are correlated: they form groups, and the model has a table of a group's joint votes in
+place of a product of rates. Its posteriors are the labels on which a logistic classifier over words and word
+beginnings is trained; only features that go with the posteriors are kept, so long clean texts gather no noise.
 
 Labels, language, source and doc_id are never inputs of a score. Learning uses at most `LEARN_ROWS` labelled
 rows, chosen by a hash of their id.
@@ -30,22 +30,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import crc_mod, labelled_sample, learning_rows
+from quillstream.llm.common import bound_batches, crc_mod, keep_rows, labelled_sample, learning_rows, tidy
 
 CUT = 0.7
 LEARN_ROWS = 6_000
 HELD_MOD, HELD_REST = 3, 1
 MAX_FEATURES = 4_000
-#: English insults and contempt.
-INSULTS = (
-    "idiot moron loser scum trash pathetic stupid worthless disgusting clown imbecile dumb fool filth garbage vermin"
-    " jerk creep coward parasite pig rat ugly hate"
-).split()
-ADDRESS = re.compile(r"\b(?:you|they|he|she) (?:are|is)(?: \w+)? (?:" + "|".join(INSULTS) + r")\b")
-SHOUT = re.compile(r"\b(?:" + "|".join(INSULTS) + r")\b\s*!", re.I)
+#: Insults and contempt in English, German, French and Spanish, a lexicon each.
+LEXICONS = [
+    [
+        "idiot", "moron", "loser", "scum", "trash", "pathetic", "stupid", "worthless", "disgusting", "clown", "imbecile", "dumb", "fool", "filth", "garbage", "vermin",
+        "jerk", "creep", "coward", "parasite", "pig", "rat", "ugly", "hate",
+    ],
+    ["dummkopf", "abschaum", "trottel", "versager", "ekelhaft", "widerlich", "erbärmlich", "wertlos", "blödmann", "schwachkopf", "ungeziefer", "feigling"],
+    ["imbécile", "crétin", "ordure", "racaille", "minable", "pourriture", "dégoûtant", "abruti", "débile", "lâche", "pitoyable", "salaud"],
+    ["imbécil", "estúpido", "basura", "escoria", "patético", "asqueroso", "inútil", "cobarde", "payaso", "despreciable", "miserable", "cretino"],
+]
+INSULTS = [w for words in LEXICONS for w in words]
+_ANY = "(?:" + "|".join(INSULTS) + r")\b"
+#: Phrases of address in the four languages, before an insult.
+ADDRESS = re.compile(
+    r"\b(?:(?:you|they|he|she) (?:are|is)(?: \w+)?|(?:du|ihr|er|sie) (?:bist|seid|ist|sind)(?: \w+)?|(?:tu|vous|il|elle) (?:es|êtes|est)(?: \w+)?|(?:eres|es|sois|son)(?: \w+)?) " + _ANY
+)
+SHOUT = re.compile(r"\b" + _ANY + r"\s*!", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 VOTERS_EACH = 6
+#: Steps of the classifier's training, and their rate.
+ROUNDS, RATE = 300, 0.3
+#: Voters of one group, at most, and the correlation beyond the classes' that makes two voters a group; larger groups take up rows that clean texts share.
+GROUP, LINKED = 2, 0.2
+#: Where expectation-maximisation starts: the probability of class 1 without a vote for it, with one and with more.
+START = (0.02, 0.2, 0.9)
+#: Rows that a group's table takes from the product of its voters' rates.
+SMOOTH = 3.0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -112,8 +130,8 @@ def votes(texts: list[str | None], bags: Bags, y: np.ndarray) -> np.ndarray:
         name = bags.names[f]
         voter_of[f] = VOTERS_EACH * name.endswith("*") + zlib.crc32(name.encode()) % VOTERS_EACH
     induced = bags.holds(voter_of, 2 * VOTERS_EACH)
-    third = {w: k % 3 for k, w in enumerate(INSULTS)}
-    fixed = bags.holds(np.array([third.get(n, -1) for n in bags.names] or [-1], np.int64), 3)
+    place = {w: 3 * at + k % 3 for at, words in enumerate(LEXICONS) for k, w in enumerate(words)}
+    fixed = bags.holds(np.array([place.get(n, -1) for n in bags.names] or [-1], np.int64), 3 * len(LEXICONS))
     found = [[bool(ADDRESS.search((t or "").lower())), bool(SHOUT.search(t or ""))] for t in texts]
     toxic = np.concatenate([induced, fixed, np.array(found, bool).reshape(len(texts), 2)], axis=1)
     toxic = toxic[:, toxic.any(axis=0)]
@@ -121,44 +139,64 @@ def votes(texts: list[str | None], bags: Bags, y: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Naive Bayes over votes with down-weighted correlated voters, fitted by expectation-maximisation."""
+    """P(votes, class) = P(class) * product over groups of voters of P(the group's votes | class), fitted by
+    expectation-maximisation. `groups` lists voters; `tables[class][group]` has the probability of each joint vote, a
+    number in base 3 with a digit (vote + 1) a voter, the first one lowest."""
 
-    def __init__(self, prior: float, rounds: int = 50):
+    def __init__(self, prior: float, rounds: int = 60):
         self.prior, self.rounds = prior, rounds
 
     def fit(self, v: np.ndarray) -> "LabelModel":
-        kinds = (v == 1, v == -1, v == 0)
-        hot = np.stack([k.astype(np.float64) for k in kinds])  # kind, row, voter
-        q = np.where((v == 1).any(axis=1), 0.9, 0.02)  # starts from a vote by any voter
-        self.share = np.ones(v.shape[1])
+        q = np.choose(np.minimum((v == 1).sum(axis=1), 2), START)
+        self.groups = [[k] for k in range(v.shape[1])]
         for step in range(self.rounds):
-            w1, w0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
-            self.p1 = (np.einsum("krv,r->kv", hot, q) + 0.1) / (w1 + 0.3)
-            self.p0 = (np.einsum("krv,r->kv", hot, 1 - q) + 0.1) / (w0 + 0.3)
             if step in (5, 15):
-                self.share = self._shares(v, q)
+                self.groups = self._groups(v, q)
+            self.tables = [self._tables(v, w) for w in (1 - q, q)]
             new = self.posterior(v)
-            if np.abs(new - q).max() < 1e-6 and step > 16:
-                break
+            done = np.abs(new - q).max() < 1e-6 and step > 16
             q = new
+            if done:
+                break
         return self
 
-    def _shares(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """1 / (1 + sum of positive correlations with other voters that the classes don't explain)."""
+    @staticmethod
+    def _groups(v: np.ndarray, q: np.ndarray) -> list[list[int]]:
+        """Voters joined, the most correlated first, into groups of at most GROUP."""
         x = v.astype(np.float64)
         m1, m0 = q @ x / (q.sum() + 1e-9), (1 - q) @ x / ((1 - q).sum() + 1e-9)
         rest = x - q[:, None] * m1 - (1 - q)[:, None] * m0
-        c = rest.T @ rest / len(x)
+        c = rest.T @ rest / max(len(x), 1)
         d = np.sqrt(np.maximum(np.diag(c), 1e-9))
         c = c / d[:, None] / d[None, :]
-        np.fill_diagonal(c, 0)
-        self.correlations = c
-        return 1 / (1 + np.clip(c, 0, 1).sum(axis=1))
+        of = {k: [k] for k in range(v.shape[1])}
+        pairs = sorted((-abs(c[i, j]), i, j) for i in range(len(c)) for j in range(i) if abs(c[i, j]) > LINKED)
+        for _, i, j in pairs:
+            if of[i] is not of[j] and len(of[i]) + len(of[j]) <= GROUP:
+                joined = sorted(of[i] + of[j])
+                for k in joined:
+                    of[k] = joined
+        return [g for k, g in sorted(of.items()) if g[0] == k]
+
+    @staticmethod
+    def _codes(v: np.ndarray, group: list[int]) -> np.ndarray:
+        return sum((v[:, k].astype(np.int64) + 1) * 3**at for at, k in enumerate(group))
+
+    def _tables(self, v: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+        total, out = weights.sum(), []
+        for g in self.groups:
+            own = np.ones(1)
+            for k in reversed(g):
+                rates = (np.bincount(v[:, k].astype(np.int64) + 1, weights, 3) + 0.1) / (total + 0.3)
+                own = (own[:, None] * rates).ravel()
+            out.append((np.bincount(self._codes(v, g), weights, len(own)) + SMOOTH * own) / (total + SMOOTH) if len(g) > 1 else own)
+        return out
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
+        """The probability of class 1 given the votes of each row."""
         e = np.full(len(v), math.log(self.prior / (1 - self.prior)))
-        for k, kind in enumerate((1, -1, 0)):
-            e += (v == kind) @ (self.share * np.log(self.p1[k] / self.p0[k]))
+        for g, p0, p1 in zip(self.groups, *self.tables):
+            e += np.log(p1 / p0)[self._codes(v, g)]
         return 1 / (1 + np.exp(-np.clip(e, -30, 30)))
 
 
@@ -191,13 +229,13 @@ class ToxicityModel:
         chosen = [bags.names[f] for f in chosen]
         w, bias = np.zeros(len(chosen)), math.log(soft.mean() / (1 - soft.mean()))
         hw, hb = np.full(len(chosen), 1e-8), 1e-8
-        for _ in range(300):  # full-batch AdaGrad on logistic loss against the posteriors
+        for _ in range(ROUNDS):  # full-batch AdaGrad on logistic loss against the posteriors
             p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, w[cols], len(soft)), -30, 30)))
             g = (p - soft) / len(soft)
             gw, gb = np.bincount(cols, g[rows], len(chosen)) + 2e-5 * w, g.sum()
             hw += gw * gw
             hb += gb * gb
-            w -= 0.3 * gw / np.sqrt(hw)
+            w -= RATE * gw / np.sqrt(hw)
             bias -= 0.1 * gb / math.sqrt(hb)
         return cls({f: float(x) for f, x in zip(chosen, w) if abs(x) > 1e-4}, float(bias))
 
@@ -234,6 +272,7 @@ class ToxicityModel:
 def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> ToxicityModel:
     """Fit on labelled documents whose crc32(doc_id) mod 3 is not 1. The driver holds the words of the
     sample's rows, not their texts' length."""
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(labels, "toxic", HELD_MOD, HELD_REST, limit)
     if not sample:
         return ToxicityModel.fit([], np.zeros(0, np.int64))
@@ -247,12 +286,13 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Toxici
                 short.append(" ".join([*sorted(words_of(t)), *(m.group(0) for m in found if m)]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(short, pa.string())], names=["doc_id", "y", "text"])
 
-    rows = learning_rows(docs, sample).select("doc_id", "y", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, y int, text string").orderBy("doc_id").collect()
+    rows = learning_rows(docs, sample).select("doc_id", "y", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, y int, text string").orderBy("doc_id").collect()
     return ToxicityModel.fit([r.text for r in rows], np.array([r.y for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -260,14 +300,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod("doc_id", HELD_MOD) == HELD_REST).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return src.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted to be toxic."""
     model = learn(docs, labels)
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(model.score(b.column("text").to_pylist()) < CUT, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, lambda texts: model.score(texts) < CUT)
