@@ -2,7 +2,9 @@
 
 Each step is a grouped minimum (combined before its shuffle) and a join; edges only ever move to smaller
 ids, and the number of rounds grows with the logarithm of the size of a component, not with its diameter.
-Each round's edges are a table in the shared folder, so a lost executor repeats one round at most.
+Each round's edges are a table in the shared folder, so a lost executor repeats one round at most. A hub's
+neighbours are spread: the table of least neighbours is counted, and broadcast up to BROADCAST_ROWS; beyond that it
+is joined by a shuffle whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -12,6 +14,14 @@ from pyspark.sql import functions as F
 
 from quillstream.llm.common import drop, materialize
 
+#: Rows of two longs: 3 MB or so.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
 
 def _edges(df: DataFrame) -> DataFrame:
     """Edges from the larger to the smaller node, each once, without loops."""
@@ -25,10 +35,10 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     if both:
         seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least, path = materialize(seen.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "star")
-        moved = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).join(least.withColumnRenamed("a", "node"), "node").select(F.col("other").alias("a"), F.col("m").alias("b"))
+        moved = edges.select(F.col("b").alias("node"), F.col("a").alias("other")).join(small(least).withColumnRenamed("a", "node"), "node").select(F.col("other").alias("a"), F.col("m").alias("b"))
     else:
         least, path = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "star")
-        near = edges.withColumnRenamed("a", "node").join(least.withColumnRenamed("a", "node"), "node")
+        near = edges.withColumnRenamed("a", "node").join(small(least).withColumnRenamed("a", "node"), "node")
         moved = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     out, held = materialize(_edges(moved), "edges")
     drop(spark, path)

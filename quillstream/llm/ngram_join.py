@@ -6,8 +6,12 @@ Two classes are linked when the Jaccard similarity of their sets is at least the
 
 1. A map over whole texts gives each document its class and the keys of its bands. Bands and rows are chosen
    as the fewest hashes that find a pair at the threshold with the target recall.
-2. Classes of one representative each (least doc_id) are shuffled on band keys; a bucket links its members
-   to its least member, so a bucket of k gives k - 1 edges, never its pairs.
+2. Classes of one representative each (least doc_id) are shuffled on band keys. In each bucket the members are
+   compared with the least one, its head, so a bucket of k gives k - 1 comparisons, never its pairs. A member is
+   joined to the head from a similarity of 2t - 1 on (t is the threshold): Jaccard distance is a metric, so
+   two texts that are linked to each other cannot be parted by a head that one of them is linked to. Heads and what
+   is linked to them leave the bucket, what is left gets a new head, for ROUNDS rounds; what is left then
+   is joined without a comparison. So texts of a chance collision don't hang together.
 3. Components of these edges are candidate groups. A group is verified in full, so pairs without a common
    band are also found. Groups beyond a bounded size are dealt into blocks by hash and every pair of blocks is
    a task of its own: no task holds an unbounded group. Within a task intersections are counted by matrix
@@ -30,15 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import drop, fold_words, materialize
+from quillstream.llm.common import bound_batches, drop, fold_words, materialize, tidy
 from quillstream.llm.components import connected_components
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
+#: Rounds of comparing buckets with their heads.
+ROUNDS = 3
 #: A verification task holds at most two blocks of about this many classes and n-grams.
 BLOCK_CLASSES = 512
 BLOCK_GRAMS = 1_000_000
+SET_OPTIONS = {"parquet.block.size": str(32 << 20)}
 #: A Python worker remembers the hashes of at most this many words, and forgets them when its task ends.
 KEPT_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +93,10 @@ class _Hashes(dict):
 _WORDS = _Hashes()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -136,9 +147,8 @@ def _signatures(docs: DataFrame, n: int, threshold: float, recall: float) -> Dat
                 marks.append(_class_key(g))
                 keys.append(bands.keys(g) if len(g) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(marks, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "class_key", "n_grams", "keys"])
-        _WORDS.clear()
 
-    return docs.mapInArrow(run, _SIGNED)
+    return docs.mapInArrow(tidy(run, _forget), _SIGNED)
 
 
 def _forest(links: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -159,6 +169,11 @@ def _forest(links: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a ratio of whole numbers, so that comparisons are exact: common * den >= num * union."""
+    return round(threshold * 10_000), 10_000
+
+
 def _link_matrix(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.ndarray:
     """Whether the Jaccard similarity of each set of a with each set of b is at least the threshold."""
     sizes = [np.array([len(x) for x in s], np.int64) for s in (a, b)]
@@ -184,20 +199,19 @@ def _link_matrix(a: list[np.ndarray], b: list[np.ndarray], threshold: float) ->
             part.append(m)
         both += part[0] @ part[1].T
     union = sizes[0][:, None] + sizes[1][None, :] - both
-    # The comparison is made on whole numbers: common >= t * union, t as a ratio.
-    num, den = float(threshold).as_integer_ratio() if threshold in (0.5, 0.25, 0.75, 1.0) else (round(threshold * 10_000), 10_000)
+    num, den = _ratio(threshold)
     return both.astype(np.int64) * den >= num * union.astype(np.int64)
 
 
 _VERIFIED = "kind string, a long, b long, n long, m long"
 
 
-def _verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
-    """rows, sorted by task: task, left block, right block, side, rep, copies, text. Gives for each task
+def _verify(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows, sorted by task: task, left block, right block, side, rep, copies, grams. Gives for each task
     ('count', rep, null, linked classes, linked documents) and ('edge', rep, rep, null, null)."""
 
     def emit(group):
-        sets = {s: [(rep, copies, grams(t, n)) for side, rep, copies, t in group if side == s] for s in (0, 1)}
+        sets = {s: [(rep, copies, np.frombuffer(g, np.uint64)) for side, rep, copies, g in group if side == s] for s in (0, 1)}
         one = not sets[1]
         a = sets[0]
         b = a if one else sets[1]
@@ -226,7 +240,7 @@ def _verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
         names = ["kind", "a", "b", "n", "m"]
         task, group, out = None, [], []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("component", "i", "j", "side", "rep", "copies", "text")]
+            cols = [b.column(c).to_pylist() for c in ("component", "i", "j", "side", "rep", "copies", "grams")]
             for c, i, j, side, rep, copies, t in zip(*cols):
                 if (c, i, j) != task:
                     out += emit(group)
@@ -238,21 +252,69 @@ def _verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
         out += emit(group)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=names)
-        _WORDS.clear()
 
-    return rows.mapInArrow(run, _VERIFIED)
+    return rows.mapInArrow(tidy(run, _forget), _VERIFIED)
 
 
-def _with_class(texts: DataFrame, n: int) -> DataFrame:
-    """Adds class_key to (rep, text)."""
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """rep, class_key and grams (the n-gram set, 8 bytes each) of (rep, text)."""
 
     def run(batches):
         for b in batches:
-            keys = [_class_key(grams(t, n)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("text"), pa.array(keys, pa.binary())], names=["rep", "text", "class_key"])
-        _WORDS.clear()
+            got = [grams(t, n) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rep"), pa.array(list(map(_class_key, got)), pa.binary()), pa.array([g.tobytes() for g in got], pa.binary())], names=["rep", "class_key", "grams"]
+            )
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, text string, class_key binary")
+    return texts.select("rep", "text").mapInArrow(tidy(run, _forget), "rep long, class_key binary, grams binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """rep, head, joined (similarity of at least 2 * threshold - 1) and linked (at least the threshold)."""
+    num, den = _ratio(threshold)
+
+    def run(batches):
+        for b in batches:
+            a, z = (b.column(c).to_pylist() for c in ("grams", "head_grams"))
+            joined, linked = [], []
+            for x, y in zip(a, z):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                linked.append(both * den >= num * union)
+                joined.append(both * den >= (2 * num - den) * union)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("head"), pa.array(joined, pa.bool_()), pa.array(linked, pa.bool_())], names=["rep", "head", "joined", "linked"])
+
+    both = pairs.join(sets.select("rep", "grams"), "rep").join(sets.select(F.col("rep").alias("head"), F.col("grams").alias("head_grams")), "head")
+    # Sets whose sizes differ too much need no comparison: the smaller is all they can share.
+    size, other = F.octet_length("grams"), F.octet_length("head_grams")
+    alike = F.least(size, other) * den >= (2 * num - den) * F.greatest(size, other)
+    return both.where(alike).select("rep", "head", "grams", "head_grams").mapInArrow(tidy(run), "rep long, head long, joined boolean, linked boolean")
+
+
+def _group_edges(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """buckets: key, rep. Edges a, b that hold all texts together which are linked and share a bucket."""
+    spark = buckets.sparkSession
+    left, path, out = buckets, None, []
+    for _ in range(ROUNDS):
+        heads, p1 = materialize(left.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "head"), "heads")
+        member, p2 = materialize(left.join(heads, "key").where("rep <> head"), "bucket-members")
+        if not member.head(1):
+            left = member.select("key", "rep")
+            break
+        judged, _ = materialize(_similar(member.select("rep", "head").distinct(), sets, threshold), "judged")
+        out.append(judged.where("joined").select(F.col("rep").alias("a"), F.col("head").alias("b")))
+        rest, held = materialize(member.join(judged.where("linked").select("rep", "head"), ["rep", "head"], "left_anti").select("key", "rep"), "buckets-left")
+        for p in (path, p1, p2):
+            if p:
+                drop(spark, p)
+        left, path = rest, held
+    heads = left.groupBy("key").agg(F.min("rep").alias("head"))
+    out.append(left.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    edges = out[0]
+    for e in out[1:]:
+        edges = edges.unionByName(e)
+    return edges.distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -260,6 +322,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     its group of linked documents), n_copies (documents of its n-gram set), n_links (other documents with
     similarity of at least the threshold, copies included), n_class_links (other n-gram sets linked)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed, _ = materialize(_signatures(src, n, threshold, recall), "signatures")
 
@@ -268,38 +331,36 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     member, _ = materialize(one, "members")
     classes, _ = materialize(member.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
 
-    # Edges from each bucket's members to its least member.
+    # Buckets of two and more, and the n-gram sets of their members; of an id's texts the one of its class counts.
     reps = signed.select(F.col("doc_id").alias("rep"), "class_key", "n_grams", "keys").join(classes, ["rep", "class_key"], "left_semi").dropDuplicates(["rep"])
+    reps, p0 = materialize(reps, "representatives")
     bucketed, p1 = materialize(reps.select("rep", F.explode("keys").alias("key")), "buckets")
-    heads, p2 = materialize(bucketed.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "head"), "heads")
-    edges = bucketed.join(heads, "key").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    group = connected_components(edges)
-    drop(spark, p1)
-    drop(spark, p2)
+    full = bucketed.groupBy("key").count().where("count > 1").select("key")
+    bucketed, p2 = materialize(bucketed.join(full, "key", "left_semi"), "full-buckets")
+    wanted, p3 = materialize(bucketed.select("rep").distinct(), "wanted")
+    texts = src.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
+    sets, p4 = materialize(_sets(texts, n).join(classes, ["rep", "class_key"], "left_semi").dropDuplicates(["rep"]).select("rep", "grams"), "sets", **SET_OPTIONS)
+    group = connected_components(_group_edges(bucketed, sets, threshold))
 
     # Groups and their blocks.
-    sized, _ = materialize(
+    sized, p5 = materialize(
         group.join(reps.select(F.col("rep").alias("node"), "n_grams"), "node").join(classes.select(F.col("rep").alias("node"), "copies"), "node"), "candidates"
     )
     blocks = sized.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n_grams").alias("g")).select(
         "component", F.greatest(F.ceil(F.col("k") / BLOCK_CLASSES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
-    blocks, _ = materialize(blocks, "blocks")
+    blocks, p6 = materialize(blocks, "blocks")
     dealt = sized.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = F.struct(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"))
     pairs = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")),
         lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"), F.when(F.col("block") < x, 0).otherwise(1).alias("side")),
     )
-    tasks, _ = materialize(dealt.select(F.col("node").alias("rep"), "copies", "component", F.explode(F.concat(F.array(own), pairs)).alias("t")).select("rep", "copies", "component", "t.*"), "tasks")
-    # Each text is fetched once, then follows its tasks.
-    wanted, _ = materialize(tasks.select("rep").distinct(), "wanted")
-    texts = src.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
-    if _repeats(signed):  # of an id's texts, one of its class
-        texts = _with_class(texts, n).join(classes, ["rep", "class_key"], "left_semi").dropDuplicates(["rep"]).drop("class_key")
-    texts, _ = materialize(texts, "texts")
-    rows = tasks.join(texts, "rep").repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j", "side", "rep")
-    verified, _ = materialize(_verify(rows, n, threshold), "verified")
+    tasks, p7 = materialize(dealt.select(F.col("node").alias("rep"), "copies", "component", F.explode(F.concat(F.array(own), pairs)).alias("t")).select("rep", "copies", "component", "t.*"), "tasks")
+    rows = tasks.join(sets, "rep").repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j", "side", "rep")
+    verified, _ = materialize(_verify(rows, threshold), "verified")
+    for path in (p0, p1, p2, p3, p4, p5, p6, p7):
+        drop(spark, path)
     counts = verified.where("kind = 'count'").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_class_links"), F.sum("m").alias("linked"))
     final = connected_components(verified.where("kind = 'edge'").select("a", "b")).withColumnRenamed("node", "rep")
 
@@ -311,10 +372,6 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     )
 
 
-def _repeats(signed: DataFrame) -> bool:
-    return bool(signed.groupBy("doc_id").count().where("count > 1").head(1))
-
-
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs, one document of each group: the one of least doc_id. Rows with a null doc_id stay;
     texts that share a doc_id are judged one by one, so of these one stays only where they are equal or linked."""
