@@ -1,7 +1,10 @@
 """The training-data operators against plain versions, the libraries, exact round trips and held-out labels."""
 
 import collections
+import itertools
+import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -12,7 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from quillstream.llm import decontaminate, html_text, ngram_join, outliers, quality, queries, sentence_pieces, token_binary, token_counts, toxicity, warc
-from quillstream.llm.common import fold_words, table
+from quillstream.llm.common import fold_words, materialize, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, keys string"
 ODD = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "alpha beta gamma delta epsilon zeta"), (5, "x" * 70_000), (6, " \n\t "), (7, "a\x00b é日本 " * 5000)]
@@ -53,6 +56,18 @@ def test_token_counts(spark):
     got = token_counts.token_counts(odd(spark), public_tokenizers.path("byte_bpe_50k.json")).collect()
     want = sorted((len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for _, t in ODD)
     assert sorted((r.n_bytes, r.n_tokens) for r in got) == want
+    rows = [(1, "the quick  brown fox's <|endoftext|> é☃ 日本\n\n 12"), (2, None), (3, ""), (4, "\xa0" * 4000)]
+    counted, _ = materialize(token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), keep_text=True), "counted")
+    text = rows[0][1]
+    every = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    for budget in (0, 1, 3, 7, 12, 10_000):
+        cut = {r.doc_id: (r.n_chars, r.text) for r in token_counts.truncations(counted, budget).collect()}
+        best = max(k for k, n in enumerate(every) if n <= budget)
+        assert cut[1] == (best, text[:best]) and cut[2] == cut[3] == (0, "")
+    for k in (0, 4, 13, 99):
+        assert {r.doc_id: r.n_tokens for r in token_counts.prefix_tokens(counted, k).collect()}[1] == every[min(k, len(text))]
+    counts = [0, 200, 3]
+    assert token_counts.packed(counts) is None and token_counts.counts_of(np.diff(np.array(counts, "<i4")).tobytes(), 2).tolist() == counts
     assert token_counts.token_counts(odd(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
@@ -65,12 +80,27 @@ def test_token_files(spark):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    folder = token_binary.new_path(spark, "tokens")
+    token_binary.write_token_files(odd(spark), path, 2, folder)
+    found = token_binary.lookup_documents(spark, folder, [3, 5, 12]).collect()
+    assert sorted((r.doc_id, r.ids) for r in found) == sorted((i, [*lib.encode(t, add_special_tokens=False).ids, 2]) for i, t in ODD if i in (3, 5))
+    files = [r.path for r in token_binary.read_files(spark, folder).select("path").collect()]
+    held = [token_binary.open_file(spark, f) for f in files]
+    assert sorted(x for r in held for x in r.ids.tolist()) == sorted(token_binary.NO_ID if i is None else i for i, _ in ODD)
+    assert [x for r in held for x in r.lookup(2)] == [np.array([2], "<u4").tobytes()]
     data = token_binary.pack_file([4, 9], [b"\1\0\0\0", b"\2\0\0\0" * 3])
     assert token_binary.FileReader(data).lookup(9) == [b"\2\0\0\0" * 3]
     with pytest.raises(ValueError):
         token_binary.FileReader(data[:30] + b"!" + data[31:]).lookup(4)
 
 
+def test_words_of_token_files():
+    g, e = random.Random(8), token_binary.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    parts = [*"aB 12!.,_-", "  ", "\n", "'s", "'LL", "<|endoftext|>", "<|end", "e\u0301", "É", "☃", "...", "\t", "\xa0", "日本", "İ", "ΑΣ", "ß", "\xad", "\x1c", "ª", "½", "K", "ŉ"]
+    texts = ["".join(g.choice(parts) for _ in range(g.randint(0, 9))) for _ in range(20_000)]
+    assert e.pieces is not None and e.encode(texts) == e._library(texts)
+
+
 def test_token_file_by_ranges():
     data = token_binary.pack_file([4, 9], [bytes(range(256)) * 40, b"\2\0\0\0" * 3])
     asked = []
@@ -177,6 +207,44 @@ def test_ngram_join_repeated_ids(spark):
     assert {r for r in kept if r[0] not in (None, 500)} == {r for r in rows if r[0] < 100} and (None, twin) in kept
 
 
+def test_ngram_join_chains(spark):
+    """Chains of texts, each linked to its neighbours alone."""
+    g = random.Random(21)
+    rows = []
+    for chain in range(4):
+        words = [f"c{chain}w{g.randrange(9000)}" for _ in range(80)]
+        for k in range(9):
+            words[k * 7 % 80] = f"c{chain}n{k}"
+            rows.append((len(rows), " ".join(words)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    near = {a: {b for b in sets if b != a and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])} for a in sets}
+    assert any(len(x) == 1 for x in near.values()) and max(map(len, near.values())) < 9
+    for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        seen, todo = {r.doc_id}, [r.doc_id]
+        while todo:
+            todo = [y for x in todo for y in near[x] if y not in seen and not seen.add(y)]
+        assert (r.class_id, r.n_links) == (min(seen), len(near[r.doc_id]))
+
+
+def test_groups_of_buckets(spark, monkeypatch):
+    """All texts share a bucket: what is linked gets into one group, unlike texts stay apart while rounds last."""
+    g = np.random.default_rng(4)
+    base = [np.unique(g.integers(0, 2**60, 100).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([x[k:], g.integers(0, 2**60, k).astype(np.uint64)])) for x in base for k in (0, 8, 25, 30)]
+    rows = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "rep long, grams binary")
+    buckets = spark.createDataFrame([(1, k) for k in range(len(sets))] + [(2, 0), (2, 11), (3, 5)], "key long, rep long")
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    for rounds in (1, 50):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        of = {r.node: r.component for r in ngram_join.connected_components(ngram_join._group_edges(buckets, rows, 0.8)).collect()}
+        for a in range(len(sets)):
+            for b in range(a):
+                if like(sets[a], sets[b]) >= 0.8:
+                    assert of[a] == of[b]
+        if rounds == 50:
+            assert len({of.get(k, k) for k in (0, 4, 8)}) == 3
+
+
 def test_link_matrix_matches_sets():
     g = np.random.default_rng(0)
     sets = [np.unique(g.integers(0, 60, 40).astype(np.uint64)) for _ in range(12)]
@@ -214,6 +282,47 @@ def test_html(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
+def test_html_odd_pages():
+    model = html_text.trained()
+    text = lambda h: html_text.main_text(h, model)
+    one = "This is the one long sentence of a short article without any heading above it."
+    two = "A second paragraph follows the first one and says a little more about it."
+    for h in (f"<article><p>{one}</p></article>", f"<body><p>{one}</p></body>", f"<html><body><div>{one}</div></body></html>", one):
+        assert text(h) == one
+    assert text(f"<p>{one}</p><p>{two}</p>") == f"{one} {two}"
+    for h in (f"""<h1>Head</h1><p>{one}</p><p><a title="it's>{two}</a></p>""", f"<h1>Head</h1><p>{one}</p><p><a it's href=/x/>{two}</a></p>", f"""<h1>Head</h1><p>{one}</p><p title='a > "b"'>{two}</p>"""):
+        assert text(h) == f"Head {one} {two}"
+    assert [b.text for b in html_text.blocks("<div class=ad/>buy<p>now</div>x")] == ["buy", "now", "x"]
+    ad = next(b for b in html_text.blocks("<div class=ad/>buy</div>"))
+    assert "in:ad" in ad.features
+    assert [b.text for b in html_text.blocks("a<script>1 < 2 </p></script>b<style>x")] == ["a b"]
+    assert [b.text for b in html_text.blocks("1 < 2 <!-- x --> and <!doctype x>3 &lt; 4 <b")] == ["1 < 2 and 3 < 4 <b"]
+    for junk in ("<script", "<a b='", '<a b="', "<", "</", "<!--", "<svg>", "&#", "<p>"):
+        began = time.process_time()
+        html_text.blocks(junk * 20_000)
+        assert time.process_time() - began < 10
+
+
+def test_crf_matches_enumeration():
+    g = np.random.default_rng(3)
+    for n in (1, 2, 5, 7):
+        step, names = g.normal(size=(2, 2)), [f"f{k}" for k in range(4)]
+        crf = html_text.Crf(dict(zip(names, g.normal(size=4).tolist())), step)
+        xs = [[f for f in names if g.random() < 0.5] for _ in range(n)]
+        e = [sum(crf.weights[f] for f in fs) for fs in xs]
+        score = {y: sum(a for a, k in zip(e, y) if k) + sum(step[a, b] for a, b in zip(y, y[1:])) for y in itertools.product((0, 1), repeat=n)}
+        assert tuple(crf.decode(xs)) == max(score, key=score.get)
+        total = sum(map(math.exp, score.values()))
+        node, pair = html_text.Crf._marginals(np.array([e]), step, np.ones((1, n), bool))
+        for k in range(n):
+            assert abs(node[0, k] - sum(math.exp(v) for y, v in score.items() if y[k]) / total) < 1e-9
+        want = np.zeros((2, 2))
+        for y, v in score.items():
+            for a, b in zip(y, y[1:]):
+                want[a, b] += math.exp(v) / total
+        assert np.allclose(pair[0], want)
+
+
 def test_base_counts():
     g = random.Random(3)
     for _ in range(200):
@@ -235,6 +344,24 @@ def test_outliers(spark):
     assert abs(outliers.chi_square_quantile(0.5, 4) - 3.3567) < 1e-3
 
 
+def test_mcd_matches_all_subsets(spark):
+    g = np.random.default_rng(12)
+    groups = {}
+    for name, n in (("a", 8), ("b", 10), ("c", 12)):
+        x = g.normal(size=(n, outliers.D)) @ np.diag([0.1, 0.2, 0.3, 0.2])
+        x[: n // 4] += 3 + g.normal(size=outliers.D)
+        groups[name] = x
+    rows = [(name, *map(float, r)) for name, x in groups.items() for r in x]
+    got = {r.grp: r for r in outliers.mcd(spark.createDataFrame(rows, "grp string, " + ", ".join(f"x{i} double" for i in range(outliers.D)))).collect()}
+    for name, x in groups.items():
+        h = math.ceil(outliers.CORE * len(x))
+        best = min((np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) + np.diag(np.array(outliers.FLOOR) ** 2))[1], s) for s in itertools.combinations(range(len(x)), h))
+        core = x[list(best[1])]
+        assert abs(got[name].logdet - best[0]) < 1e-6
+        assert np.allclose([got[name][f"m{i}"] for i in range(outliers.D)], core.mean(axis=0))
+        assert np.allclose(outliers._matrix(got[name].asDict(), floor=False), np.cov(core.T, bias=True))
+
+
 def test_outliers_planted(spark):
     g = random.Random(6)
 
@@ -265,6 +392,39 @@ def test_toxicity_marks(spark, monkeypatch):
     assert [marks(t) for t in got] == [marks(t) for t in texts] == [(True, False), (True, False), (True, True), (False, True), (False, False)]
 
 
+def test_label_model_by_enumeration():
+    g = np.random.default_rng(7)
+    y = g.random(4000) < 0.3
+    v = np.where(g.random((4000, 5)) < np.where(y, 0.5, 0.05)[:, None], 1, 0)
+    v[:, 1] = np.where(g.random(4000) < 0.8, v[:, 0], v[:, 1])  # a voter that copies another
+    v[:, 4] = -(~(v[:, :4] == 1).any(axis=1)).astype(int)
+    model = toxicity.LabelModel(0.3).fit(v.astype(np.int8))
+    assert any({0, 1} <= set(group) for group in model.groups) and sorted(k for group in model.groups for k in group) == list(range(5))
+
+    def joint(votes, label):
+        p = model.prior if label else 1 - model.prior
+        for group, table in zip(model.groups, model.tables[label]):
+            p *= table[sum((votes[k] + 1) * 3**at for at, k in enumerate(group))]
+        return p
+
+    every = list(itertools.product((-1, 0, 1), repeat=5))
+    assert abs(sum(joint(x, label) for x in every for label in (0, 1)) - 1) < 1e-9
+    want = [joint(x, 1) / (joint(x, 0) + joint(x, 1)) for x in every]
+    assert np.allclose(model.posterior(np.array(every)), want, atol=1e-9)
+    assert np.mean((model.posterior(v) > 0.5) == y) > 0.85
+
+
+def test_newton_matches_gradient_descent():
+    g = np.random.default_rng(2)
+    x = g.normal(size=(60, 3))
+    y = (x @ [1.0, -2.0, 0.5] + g.normal(size=60) > 0).astype(int)
+    d = x[g.choice(np.flatnonzero(y == 1), 400)] - x[g.choice(np.flatnonzero(y == 0), 400)]
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 1e-2 * w)
+    assert np.allclose(quality.BradleyTerry.weights_of(d, 1e-2), w, atol=1e-5)
+
+
 def test_classifiers(spark, sf, labelled):
     for fit, mod, rest, col in ((lambda t, y: quality.BradleyTerry.fit(quality.matrix(t), y), 4, 2, 2), (toxicity.ToxicityModel.fit, 3, 1, 3)):
         held = [zlib.crc32(str(r[0]).encode()) % mod == rest for r in labelled]
