@@ -7,9 +7,10 @@ intersected, beginning with the rarest term of that segment. Exact phrases and p
 within a window) are answered alike.
 
 Scale: building and searching are maps over documents and segments; no posting is shuffled. Segments hold
-at most `SEGMENT_BYTES` of text (a longer document has one of its own). Phrases are a stated query set: they
-are read in blocks of at most `BLOCK_WORDS` words, each block is broadcast, and answers of several blocks are
-merged per document by a shuffle of hit documents only.
+about `SEGMENT_BYTES` of text (a longer document has one of its own). Words are numbered as they are read, so a
+worker holds four bytes a word and the segment's terms. Phrases are a stated query set: they are read in blocks
+of at most `BLOCK_WORDS` words, each block is broadcast, and answers of several blocks are merged per document
+by a shuffle of hit documents only.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased.
 
@@ -27,24 +28,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstream.llm.common import fold_words, materialize
+from quillstream.llm.common import bound_batches, drop, fold_words, materialize, tidy
 
 WINDOW = 13
 GAP = 64
-SEGMENT_BYTES = 24 << 20
-BLOCK_WORDS = 2_000_000
+SEGMENT_BYTES = 6 << 20
+BLOCK_WORDS = 400_000
+#: Windows looked up at a time.
+ROWS_AT_ONCE = 1 << 16
+#: Rows are a few MB each, so the writer is to look at a row group's size after every second row.
+INDEX_OPTIONS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "2", "parquet.block.size.row.check.max": "2"}
 
-INDEX_SCHEMA = "docs array<long>, starts array<long>, lengths array<long>, terms binary, term_ends binary, freqs binary, positions binary"
+INDEX_SCHEMA = "docs array<long>, marks array<long>, lengths array<long>, terms binary, term_ends binary, freqs binary, positions binary"
 
 
 class Segment:
     """Postings of a run of documents."""
 
-    def __init__(self, docs, starts, lengths, terms: list[bytes], freqs: np.ndarray, positions: np.ndarray):
-        self.docs, self.starts, self.lengths = docs, np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
-        self.number = {t: i for i, t in enumerate(terms)}
+    def __init__(self, docs, marks, lengths, terms: list[bytes], freqs: np.ndarray, positions: np.ndarray):
+        self.docs, self.marks, self.lengths = docs, marks, np.asarray(lengths, np.int64)
+        self.starts = _starts(self.lengths)
+        self.number = dict(zip(terms, range(len(terms))))
         self.freqs = freqs
-        self.ends = np.cumsum(freqs)
+        self.ends = np.cumsum(freqs, dtype=np.int64)
         self.positions = positions
 
     def postings(self, term: int) -> np.ndarray:
@@ -80,96 +86,138 @@ class Segment:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
-def _segment_batch(docs, lengths, words: list[list[bytes]]) -> pa.RecordBatch:
-    number: dict[bytes, int] = {}
-    put = number.setdefault
-    ids = np.fromiter((put(w, len(number)) for ws in words for w in ws), np.int32, sum(lengths))
-    size = np.asarray(lengths, np.int64)
-    starts = np.concatenate([[0], np.cumsum(size + GAP)[:-1]]) if len(size) else size
-    where = np.arange(len(ids)) + np.repeat(GAP * np.arange(len(size)), size)
-    order = np.argsort(ids, kind="stable")
-    freqs = np.bincount(ids, minlength=len(number)).astype("<i4")
-    positions = where[order].astype("<i8" if len(where) and where[-1] >= 2**31 else "<i4")
+class _Numbers(dict):
+    """Numbers terms from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, term):
+        n = self[term] = len(self)
+        return n
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    """Where each document begins when they are laid end to end with gaps."""
+    ends = np.cumsum(lengths + GAP)
+    return ends - lengths - GAP
+
+
+def _segment_batch(docs: list, marks: list, parts: list[np.ndarray], terms: list[bytes]) -> pa.RecordBatch:
+    """The index row of documents given as arrays of term numbers."""
+    lengths = np.array([len(p) for p in parts], np.int64)
+    ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    parts.clear()
+    last = int(lengths.sum()) + GAP * len(lengths)
+    where = np.arange(len(ids), dtype="<i8" if last >= 2**31 else "<i4")
+    where += np.repeat(_starts(lengths) - (np.cumsum(lengths) - lengths), lengths).astype(where.dtype)
+    freqs = np.bincount(ids, minlength=len(terms)).astype("<i4")
+    positions = where[np.argsort(ids, kind="stable")]
+    del where, ids
     # Differences compress well; each term's first position stands as it is.
-    gaps = np.diff(positions, prepend=positions[:1] * 0)
-    first = np.cumsum(freqs) - freqs
-    gaps[first] = positions[first]
-    terms = list(number)
+    first = np.cumsum(freqs, dtype=np.int64) - freqs
+    heads = positions[first]
+    positions[1:] -= positions[:-1].copy()
+    positions[first] = heads
+    ends = np.cumsum(np.fromiter(map(len, terms), np.int64, len(terms)), dtype="<i8")
+    longs = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([docs], pa.list_(pa.int64())), pa.array([starts.tolist()], pa.list_(pa.int64())), pa.array([list(lengths)], pa.list_(pa.int64())),
-            pa.array([b"".join(terms)], pa.binary()), pa.array([np.cumsum([len(t) for t in terms] or [0], dtype="<i8").tobytes()], pa.binary()),
-            pa.array([freqs.tobytes()], pa.binary()), pa.array([gaps.astype(positions.dtype).tobytes()], pa.binary()),
+            pa.array([docs], longs), pa.array([marks], longs), pa.array([lengths], longs), pa.array([b"".join(terms)], pa.binary()),
+            pa.array([ends.tobytes()], pa.binary()), pa.array([freqs.tobytes()], pa.binary()), pa.array([positions.tobytes()], pa.binary()),
         ],
-        names=["docs", "starts", "lengths", "terms", "term_ends", "freqs", "positions"],
+        names=["docs", "marks", "lengths", "terms", "term_ends", "freqs", "positions"],
     )
 
 
 def _load(row: dict) -> Segment:
-    freqs = np.frombuffer(row["freqs"], "<i4").astype(np.int64)
-    total = int(freqs.sum())
+    freqs = np.frombuffer(row["freqs"], "<i4")
+    total = int(freqs.sum(dtype=np.int64))
     raw = row["positions"]
-    gaps = np.frombuffer(raw, "<i8" if total and len(raw) == 8 * total else "<i4").astype(np.int64)
-    first = np.cumsum(freqs) - freqs
+    gaps = np.frombuffer(raw, "<i8" if total and len(raw) == 8 * total else "<i4")
+    first = np.cumsum(freqs, dtype=np.int64) - freqs
     # A term's positions are running sums of its differences: take away what the terms before add up to.
-    run = np.cumsum(gaps)
-    base = np.where(first > 0, run[first - 1], 0) if total else first
-    positions = run - np.repeat(base, freqs)
+    positions = np.cumsum(gaps, dtype=np.int64)
+    if total:
+        positions -= np.repeat(np.where(first > 0, positions[first - 1], 0), freqs)
     text = row["terms"]
-    ends = np.frombuffer(row["term_ends"], "<i8")[: len(freqs)].tolist()
+    ends = np.frombuffer(row["term_ends"], "<i8").tolist()
     terms = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-    return Segment(row["docs"], row["starts"], row["lengths"], terms, freqs, positions)
+    return Segment(row["docs"], row["marks"], row["lengths"], terms, freqs, positions.astype(np.int32) if total and positions.max() < 2**31 - GAP else positions)
+
+
+def _segments(batch: pa.RecordBatch, names: list[str]):
+    """The rows of a batch one at a time; the others stay in the batch's buffers."""
+    for k in range(batch.num_rows):
+        yield {n: batch.column(n)[k].as_py() for n in names}
+
+
+_PARTS = ["docs", "marks", "lengths", "terms", "term_ends", "freqs", "positions"]
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The index of (doc_id, text) as a table in the shared folder: a row a segment."""
+    """The index of (doc_id, text) as a table in the shared folder: a row a segment. A column `mark` (long), if
+    there is one, goes along with the id."""
+    return _build(docs)[0]
+
+
+def _build(docs: DataFrame) -> tuple[DataFrame, str]:
+    bound_batches(docs.sparkSession)
 
     def run(batches):
-        ids, lengths, words, size = [], [], [], 0
+        ids, marks, parts, number, size = [], [], [], _Numbers(), 0
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                w = fold_words(t)
+            texts = b.column("text")
+            for k, (i, m) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist())):
+                words = fold_words(texts[k].as_py())
                 ids.append(i)
-                lengths.append(len(w))
-                words.append(w)
-                size += len(t or "")
+                marks.append(m)
+                parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                size += sum(map(len, words)) + len(words)
                 if size >= SEGMENT_BYTES:
-                    yield _segment_batch(ids, lengths, words)
-                    ids, lengths, words, size = [], [], [], 0
+                    yield _segment_batch(ids, marks, parts, list(number))
+                    ids, marks, parts, number, size = [], [], [], _Numbers(), 0
         if ids:
-            yield _segment_batch(ids, lengths, words)
+            yield _segment_batch(ids, marks, parts, list(number))
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(src.mapInArrow(run, INDEX_SCHEMA), "postings")[0]
+    mark = F.col("mark").cast("long") if "mark" in docs.columns else F.lit(None).cast("long")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text"))
+    return materialize(src.mapInArrow(tidy(run), INDEX_SCHEMA), "postings", **INDEX_OPTIONS)
 
 
 class PhraseBlock:
     """Windows of a block of items: distinct word sequences, and the items each belongs to."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
-        held: dict[tuple[bytes, ...], set[int]] = {}
+        number = _Numbers()
+        rows, owner = [], []
         for i, words in items:
             if words:
-                for at in range(max(1, len(words) - window + 1)):
-                    held.setdefault(tuple(words[at : at + window]), set()).add(i)
-        self.windows = list(held)
-        self.owners = [sorted(x) for x in held.values()]
-        self.terms = sorted({w for ws in held for w in ws})
-        number = {t: i for i, t in enumerate(self.terms)}
+                ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+                if len(ids) < window:
+                    ids = np.concatenate([ids, np.full(window - len(ids), -1, np.int32)])
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+                owner.append(np.full(len(rows[-1]), i, np.int64))
+        self.terms = list(number)
         #: term numbers, by window; -1 past the end of a short one
-        self.matrix = np.full((len(held), window), -1, np.int64)
-        for r, ws in enumerate(held):
-            self.matrix[r, : len(ws)] = [number[w] for w in ws]
+        self.matrix = np.empty((0, window), np.int32)
+        self.owner = self.owner_ends = np.empty(0, np.int64)
+        if rows:
+            self.matrix, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate(owner)]), axis=1)
+            self.owner, self.owner_ends = pairs[1], np.cumsum(np.bincount(pairs[0], minlength=len(self.matrix)))
+
+    def owners(self, r: int) -> list[int]:
+        """The items that a window belongs to."""
+        return self.owner[self.owner_ends[r - 1] if r else 0 : self.owner_ends[r]].tolist()
 
     def search(self, seg: Segment):
         """(start, words, window number) of each occurrence in a segment."""
         here = np.array([seg.number.get(t, -1) for t in self.terms] + [-2], np.int64)  # -1 of the matrix picks the last
-        m = here[self.matrix]
-        for r in np.flatnonzero((m != -1).all(axis=1)):
-            row = m[r]
-            row = row[row >= 0]
-            for s in seg.phrase(row):
-                yield int(s), len(row), int(r)
+        for at in range(0, len(self.matrix), ROWS_AT_ONCE):
+            m = here[self.matrix[at : at + ROWS_AT_ONCE]]
+            for r in np.flatnonzero((m != -1).all(axis=1)).tolist():
+                row = m[r]
+                row = row[row >= 0]
+                for s in seg.phrase(row).tolist():
+                    yield s, len(row), at + r
 
 
 def phrase_blocks(items: DataFrame, window: int, block_words: int):
@@ -187,7 +235,7 @@ def phrase_blocks(items: DataFrame, window: int, block_words: int):
         yield PhraseBlock(held, window)
 
 
-_FOUND = "segment long, place long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
+_FOUND = "segment long, place long, doc_id long, mark long, n_words long, spans array<struct<start:long,stop:long>>, items array<long>"
 
 
 def _search(index: DataFrame, block: PhraseBlock | None) -> DataFrame:
@@ -195,12 +243,12 @@ def _search(index: DataFrame, block: PhraseBlock | None) -> DataFrame:
     `place`, the segment's number and the place in it, tell documents apart where ids repeat."""
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(block)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.int64())]
 
     def run(batches):
         block = shared.value
         for b in batches:
-            for row in b.to_pylist():
+            for row in _segments(b, ["segment", *_PARTS]):
                 seg = _load(row)
                 spans: dict[int, list[tuple[int, int]]] = {}
                 items: dict[int, set[int]] = {}
@@ -214,23 +262,29 @@ def _search(index: DataFrame, block: PhraseBlock | None) -> DataFrame:
                             got[-1] = (got[-1][0], max(got[-1][1], at + size))
                         else:
                             got.append((at, at + size))
-                        items.setdefault(d, set()).update(block.owners[r])
+                        items.setdefault(d, set()).update(block.owners(r))
                 count = len(seg.docs)
                 cols = [
-                    [row["segment"]] * count, list(range(count)), seg.docs, seg.lengths.tolist(),
+                    [row["segment"]] * count, list(range(count)), seg.docs, seg.marks, seg.lengths.tolist(),
                     [[{"start": a, "stop": z} for a, z in spans.get(d, ())] for d in range(count)],
                     [sorted(items.get(d, ())) for d in range(count)],
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["segment", "place", "doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["segment", "place", "doc_id", "mark", "n_words", "spans", "items"])
 
-    return index.mapInArrow(run, _FOUND)
+    return index.mapInArrow(tidy(run), _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (merged runs of hit words, half open), items (ids with an occurring window).
+    """doc_id, mark (as build_index()), n_words, spans (merged runs of hit words, half open), items (ids with an
+    occurring window).
 
     With several blocks of items, spans of a document may overlap; n_hit() counts their union."""
-    index = build_index(docs)
+    return _decontaminate(docs, benchmark, window, block_words)[0]
+
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, str]:
+    """decontaminate(), and the path of its index."""
+    index, path = _build(docs)
     # The number holds the partition in its upper bits, so no arithmetic is done with it.
     index = index.withColumn("segment", F.monotonically_increasing_id())
     blocks = phrase_blocks(benchmark, window, block_words)
@@ -241,10 +295,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         found = found.unionByName(_search(index, block).where(F.size("items") > 0))
     if several:
         found = found.groupBy("segment", "place").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+            F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         )
-    return found.drop("segment", "place")
+    return found.drop("segment", "place"), path
 
 
 def n_hit(spans):
@@ -260,7 +314,11 @@ def verdicts(found: DataFrame) -> DataFrame:
     """The digest of decontaminate(): n_hit, n_items, items_sha256 and contaminated (a twentieth or more is hit)."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     out = found.select("doc_id", "n_words", n_hit(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+def _contaminated(hit, words):
+    return (hit > 0) & (20 * hit >= words)
 
 
 def phrase_matches(index: DataFrame, phrases: list[tuple[int, str]], slop: int | None = None) -> DataFrame:
@@ -268,11 +326,12 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[int, str]], slop: int |
     all words of a phrase lie at most that many words from it. The list of phrases is the caller's."""
     if slop is not None and not 0 <= slop < GAP:
         raise ValueError(f"slop must be at least 0 and less than {GAP}")
+    bound_batches(index.sparkSession)
     listed = [(i, fold_words(t)) for i, t in phrases]
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in _segments(b, _PARTS):
                 seg = _load(row)
                 out = []
                 for i, words in listed:
@@ -283,7 +342,7 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[int, str]], slop: int |
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["phrase_id", "doc_id", "position"])
 
-    return index.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in ("phrase_id", "doc_id", "position")]))
+    return index.mapInArrow(tidy(run), T.StructType([T.StructField(n, T.LongType()) for n in ("phrase_id", "doc_id", "position")]))
 
 
 def items_digest(items) -> str:
@@ -294,9 +353,11 @@ def items_digest(items) -> str:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that verdicts() doesn't call contaminated. Rows with a null
     doc_id are judged by their text like the others, rows that repeat a doc_id each on its own text."""
-    # A digest tells texts of repeated or null ids apart; only contaminated ones are joined back.
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    by_text = docs.select(key.alias("doc_id"), "text")
-    bad = verdicts(decontaminate(by_text, benchmark)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    # 128 bits tell texts apart whatever their ids are; only those of contaminated ones are joined back.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    low, high = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    found, path = _decontaminate(docs.select(low.alias("doc_id"), high.alias("mark"), "text"), benchmark, WINDOW, BLOCK_WORDS)
+    bad = found.where(_contaminated(n_hit(F.col("spans")), F.col("n_words"))).select(F.col("doc_id").alias("low"), F.col("mark").alias("high")).distinct()
     bad, _ = materialize(bad, "contaminated")
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    drop(docs.sparkSession, path)
+    return docs.join(bad, (low == bad["low"]) & (high == bad["high"]), "left_anti")
