@@ -10,7 +10,7 @@ by (max, +), which is associative. Once the states at the borders are known each
 own. A border between characters that no token holds side by side (before a space, for one) has the single
 state "no token straddles it", so its row of the matrix is all there is; borders are put there where one is
 near, and elsewhere where there is none. Inside a chunk the same borders cut the lattice into words whose
-paths are remembered (bounded, then emptied).
+paths are remembered (bounded, then emptied, and forgotten when a task ends).
 
 Scale: texts of at most CHUNK characters are encoded where they are read. Only chunks of longer ones are
 shuffled, dealt by text and chunk; combining takes a few numbers a chunk.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.bpe import MergeLattice
-from quillstream.llm.common import materialize
+from quillstream.llm.common import bound_batches, materialize, tidy
 
 CHUNK = 32_768
 #: How far a border may move to find characters that no token holds side by side.
@@ -44,7 +44,7 @@ State = tuple[int, int]  # a token, and how many of its characters lie beyond th
 
 
 class Pieces:
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -259,6 +259,12 @@ def pieces(path: str) -> Pieces:
     return _BY_FILE[path]
 
 
+def _forget() -> None:
+    for p in _BY_FILE.values():
+        p.seen.clear()
+        p.lattice.forget()
+
+
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 _CHUNKS = "row long, doc_id long, chunk int, part string"
 
@@ -272,6 +278,7 @@ def _out(p: Pieces, doc_ids: pa.Array, texts, ids: list[list[int]]) -> pa.Record
 
 def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, reach: int = REACH) -> DataFrame:
     """doc_id, n_tokens, ids and round_trip of every row of docs."""
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def small(batches):
@@ -318,18 +325,18 @@ def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, reach: int = RE
         for b in batches:
             yield _out(p, b.column("doc_id"), b.column("text").to_pylist(), b.column("ids").to_pylist())
 
-    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(small, _ENCODED)
+    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(tidy(small, _forget), _ENCODED)
     long = src.where(F.length("text") > chunk)
     # Numbered once and written, so that a row keeps its number when a task runs again.
     long, _ = materialize(long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "giants")
     if not long.head(1):
         return short
-    parts, _ = materialize(long.mapInArrow(cut, _CHUNKS).repartition("row", "chunk"), "chunks")
-    matrices = parts.select("row", "chunk", "part").mapInArrow(transfers, "row long, chunk int, matrix string")
+    parts, _ = materialize(long.mapInArrow(tidy(cut, _forget), _CHUNKS).repartition("row", "chunk"), "chunks")
+    matrices = parts.select("row", "chunk", "part").mapInArrow(tidy(transfers, _forget), "row long, chunk int, matrix string")
     states, _ = materialize(matrices.groupBy("row").applyInArrow(joined, "row long, chunk int, states string"), "states")
-    pieces_of = parts.join(states, ["row", "chunk"]).select("row", "chunk", "part", "states").mapInArrow(traced, "row long, chunk int, ids array<int>")
+    pieces_of = parts.join(states, ["row", "chunk"]).select("row", "chunk", "part", "states").mapInArrow(tidy(traced, _forget), "row long, chunk int, ids array<int>")
     whole = pieces_of.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
-    giants = whole.join(long, "row").select("doc_id", "text", "ids").mapInArrow(finish, _ENCODED)
+    giants = whole.join(long, "row").select("doc_id", "text", "ids").mapInArrow(tidy(finish, _forget), _ENCODED)
     return short.unionByName(giants)
 
 
@@ -341,6 +348,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([p.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, _forget), "doc_id long, text string")
 
 
