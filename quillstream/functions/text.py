@@ -128,7 +128,7 @@ def fuzzy_tag(c, variant: str = "rule") -> Column:
     out = None
     for tag, words in V.TAG_KEYWORDS:
         found = F.lit(False)
-        for w in [*words.split(), *([V.UNIFIED_EXTRA[1]] if variant == "unified" and tag == V.UNIFIED_EXTRA[0] else [])]:
+        for w in [*words, *([V.UNIFIED_EXTRA[1]] if variant == "unified" and tag == V.UNIFIED_EXTRA[0] else [])]:
             found = found | c.contains(w) | (F.lit(False) if variant == "unified" else low.contains(w))
         out = F.when(found, tag) if out is None else out.when(found, tag)
     return out.otherwise(V.OTHER)

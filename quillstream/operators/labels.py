@@ -31,7 +31,7 @@ class KeywordBackend:
         out = []
         for t in texts:
             whole = t.lower()
-            tag = next((tag for tag, words in V.TAG_KEYWORDS if any(w in whole for w in words.split())), None)
+            tag = next((tag for tag, words in V.TAG_KEYWORDS if any(w in whole for w in words)), None)
             out.append((tag or V.OTHER, self.confidence if tag else 0.5))
         return out
 
@@ -107,6 +107,7 @@ def fallback_lines(response, expected) -> Column:
     def one(i):
         n = i.cast("string")
         pick = lambda p, g: F.call_function("regexp_extract", response, p, F.lit(g))
+        # The three line forms of a response.
         forms = [
             pick(F.concat(F.lit("段落"), n, F.lit(rf"[：:]{T.W}*({T.NOT_W}+)")), 1),
             pick(F.concat(F.lit(rf'"id"{T.W}*:{T.W}*'), n, F.lit(rf'[^}}]*"tag"{T.W}*:{T.W}*"([^"]+)"')), 1),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,18 +54,7 @@ def segments_of(texts: DataFrame, options: Options, planner: Callable[[list[str]
         if planner is None:
             merged = packing.fallback_merge(packing.presegment(F.col("text")))
         else:
-
-            @F.udf("array<string>")
-            def plans(sentences):
-                out = []
-                for at in range(0, len(sentences or []), V.SENTENCE_BATCH):
-                    try:
-                        out.append(planner(sentences[at : at + V.SENTENCE_BATCH]))
-                    except Exception:
-                        out.append("")
-                return out
-
-            joined = joined.withColumn("s", packing.presegment(F.col("text"))).withColumn("p", plans("s"))
+            joined = _plans(joined.withColumn("s", packing.presegment(F.col("text"))), planner)
             batches = F.transform(F.col("p"), lambda p, i: F.struct(p.alias("p"), F.slice("s", i * V.SENTENCE_BATCH + 1, F.lit(V.SENTENCE_BATCH)).alias("s")))
             merged = F.flatten(F.transform(batches, lambda b: F.when(b.p == "", packing.fallback_merge(b.s)).otherwise(labels.apply_plan(b.s, b.p))))
             merged = packing.merge_neighbours(merged)
@@ -71,8 +62,31 @@ def segments_of(texts: DataFrame, options: Options, planner: Callable[[list[str]
     return packing.explode_segments(arrays)
 
 
+def _plans(sentences: DataFrame, planner: Callable[[list[str]], str]) -> DataFrame:
+    """Adds p to doc_id, text, s: the planner's answer to each run of SENTENCE_BATCH sentences, empty where it failed."""
+
+    def ask(some: list[str]) -> str:
+        try:
+            return planner(some) or ""
+        except Exception:  # any failure of the caller's planner means merging instead
+            return ""
+
+    def run(batches):
+        for b in batches:
+            p = [[ask(s[at : at + V.SENTENCE_BATCH]) for at in range(0, len(s or []), V.SENTENCE_BATCH)] for s in b.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("s"), pa.array(p, pa.list_(pa.string()))], names=["doc_id", "text", "s", "p"])
+
+    src = sentences.select("doc_id", "text", "s")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string, s array<string>, p array<string>")
+
+
 def parse(rows: DataFrame, options: Options | None = None, backend=labels.KeywordBackend, planner=None, remote=None, chunker=None) -> DataFrame:
     """rows: doc_id, text, filename, content. One nested row a document; failures have status 'error'.
+
+    Defined results: a document without segments (page marks only, for one) has status 'success' and no segments;
+    null and blank texts without a file are errors; rows that share a doc_id are read as one document, so ids have to
+    be unique; other columns are ignored. The labelled segments feed several parts of the result, so they are kept
+    (memory, then disk) until spark.catalog.clearCache() or the session's end; a lost part is worked out again.
     Semantic chunks of chunk_size need `chunker`, called as chunker(content, how many chunks) for a list of texts."""
     options = options or Options()
     if options.chunk_size and options.chunk_method == "semantic" and chunker is None:
@@ -81,6 +95,7 @@ def parse(rows: DataFrame, options: Options | None = None, backend=labels.Keywor
     good, bad = got.where("error is null"), got.where("error is not null")
     tagged = labels.label_segments(segments_of(good, options, planner), backend)
     tagged = labels.merge_same_tag(tagged) if options.mode == "unified" else labels.smooth(tagged)
+    tagged = tagged.withColumn("confidence", F.round("confidence", 2)).persist(StorageLevel.MEMORY_AND_DISK)
     pages = good.where("pages is not null").select("doc_id", "pages")
     tagged = tagged.join(pages, "doc_id", "left").withColumn("page_idx", F.when(F.col("pages").isNotNull(), assemble.page_of(F.col("content"), F.col("pages")))).drop("pages")
     heads, rest = assemble.title_abstract(tagged)
@@ -91,7 +106,7 @@ def parse(rows: DataFrame, options: Options | None = None, backend=labels.Keywor
         cut = chunks.semantic_chunks(rest, chunker, options.chunk_size) if semantic else chunks.chunk_segments(rest, options.chunk_size, options.overlap)
         pieces = chunks.number_chunks(cut)
         rest = assemble.attach_chunks(rest, pieces, options.chunk_size, options.overlap, options.chunk_method)
-    out = assemble.nest(heads, rest)
+    out = assemble.nest(good.select("doc_id").distinct().join(heads, "doc_id", "left"), rest)
     empty = out.schema["segments"].dataType
     failed = bad.select("doc_id", F.lit("error").alias("status"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("abstract"), F.array().cast(empty).alias("segments"), F.col("error").alias("error_message"))
     return out.unionByName(failed)

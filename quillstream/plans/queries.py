@@ -157,7 +157,7 @@ def dedup_table_cells(spark, sf_dir):
     return p.select("p_partkey", documents.dedup_table_cells(text).alias("text"))
 
 
-_WORDS = [w for _, ws in V.TAG_KEYWORDS for w in ws.split()]
+_WORDS = [w for _, ws in V.TAG_KEYWORDS for w in ws]
 
 
 def fuzzy_tag(spark, sf_dir):
@@ -251,6 +251,10 @@ def metadata_tags(spark, sf_dir):
     return parse.tags(spark)
 
 
+def metadata_health(spark, sf_dir):
+    return parse.health(spark)
+
+
 def metadata_formats(spark, sf_dir):
     return parse.formats(spark)
 
@@ -261,7 +265,7 @@ QUERIES = {
         clean_text, join_broken_lines, line_groups, list_line_ratio, line_kinds, pack_sentences, rule_segments, presegment, fallback_merge, unified_blocks, merge_neighbours,
         sliding_chunks, sliding_chunks_native, chunk_stats, truncate_sentence, smooth_labels, merge_same_tag, tag_numbering, renumber, title_abstract, remaining_segments,
         page_lookup, layout_pages, dedup_table_cells, fuzzy_tag, parse_label_json, parse_batch, apply_plan, label_documents, parse_documents, decode_files,
-        task_latest, task_stuck, task_expired, task_recent, metadata_tags, metadata_formats,
+        task_latest, task_stuck, task_expired, task_recent, metadata_tags, metadata_formats, metadata_health,
     )
 }
 
@@ -322,7 +326,7 @@ ORACLE = {
     "layout_pages": f"""SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS page_idx, page_text FROM (SELECT o_custkey AS doc_id, CAST(day(o_orderdate) AS INTEGER) AS page,
       string_agg({_STRIP('o_orderpriority')}, chr(10) || chr(10) ORDER BY o_orderkey) AS page_text FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2)""",
     "dedup_table_cells": f"""SELECT p_partkey, '| ' || p_brand || ' | ' || p_type || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' | ' || p_brand END || ' |' || chr(10) || p_name || chr(10) || '|one|' AS text FROM part""",
-    "fuzzy_tag": "SELECT p_partkey, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws.split())} THEN '{tag}'" for tag, ws in V.TAG_KEYWORDS) + f" ELSE '{V.OTHER}' END AS tag FROM (SELECT p_partkey, lower(p_name || {_WORDS}[p_partkey % {len(_WORDS)} + 1]) AS t FROM part)",
+    "fuzzy_tag": "SELECT p_partkey, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{tag}'" for tag, ws in V.TAG_KEYWORDS) + f" ELSE '{V.OTHER}' END AS tag FROM (SELECT p_partkey, lower(p_name || {_WORDS}[p_partkey % {len(_WORDS)} + 1]) AS t FROM part)",
     "parse_label_json": f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN '{V.OTHER}' ELSE {V.TAGS}[p_partkey % 13 + 1] END AS tag,
       CASE p_partkey % 3 WHEN 0 THEN least(p_partkey % 15 / 10.0::DOUBLE, 1.0::DOUBLE) WHEN 1 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM part""",
     "parse_batch": f"""SELECT p_partkey, CAST(i AS INTEGER) AS item, CASE WHEN p_partkey % 2 = 0 THEN CASE i WHEN 1 THEN '{V.TITLE}' ELSE '{V.TAGS[6]}' END ELSE CASE i WHEN 1 THEN '{V.ABSTRACT}' ELSE '{V.OTHER}' END END AS tag,
@@ -335,6 +339,7 @@ ORACLE = {
     "task_expired": f"SELECT task_id FROM ({_TASKS}) WHERE created_at < TIMESTAMP '{NOW}' - INTERVAL 24 HOUR",
     "task_recent": f"SELECT task_id, status FROM ({_TASKS}) ORDER BY created_at DESC, task_id LIMIT 50",
     "metadata_tags": f"SELECT CAST(i AS INTEGER) AS tag_order, {V.TAGS}[i] AS tag, '{V.VERSION}' AS version FROM (SELECT unnest(range(1, 14)) AS i)",
+    "metadata_health": f"SELECT 'healthy' AS status, '{V.SERVICE_VERSION}' AS version, 'quillstream' AS service",
     "metadata_formats": f"SELECT unnest({V.FORMATS}) AS suffix, {V.MAX_UPLOAD_MB} AS max_mb",
 }
 ORACLE["sliding_chunks_native"] = f"SELECT doc_id, chunk_id, start_pos, end_pos FROM ({ORACLE['sliding_chunks']})"

@@ -18,7 +18,8 @@ from quillstream.functions import vocabulary as V
 #: An extractor of a file type: bytes to page texts (one page where the type has none).
 Extractor = Callable[[bytes], list[str]]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_SALVAGE = re.compile(r"[一-鿿　-〿＀-￯a-zA-Z0-9\s.,;:!?()\[\]{}\"']+")
+# Fixed value: the characters of readable runs (CJK ideographs, CJK and full-width punctuation, ASCII text).
+_SALVAGE = re.compile(r"[\u4e00-\u9fff\u3000-\u303f\uff00-\uffefa-zA-Z0-9\s.,;:!?()\[\]{}\"']+")
 LEAST_TEXT = 50
 
 

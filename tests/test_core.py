@@ -185,7 +185,7 @@ def test_parse_end_to_end(spark):
 
 def test_keywords_of_whole_segment():
     tag, words = V.TAG_KEYWORDS[0]
-    assert labels.KeywordBackend().label(["。" * 3000 + words.split()[0]]) == [(tag, 0.6)]
+    assert labels.KeywordBackend().label(["。" * 3000 + words[0]]) == [(tag, 0.6)]
 
 
 def test_parse_semantic_chunks(spark):
@@ -195,3 +195,36 @@ def test_parse_semantic_chunks(spark):
     assert [40] in [[len(c.content) for c in s.chunks][:1] for s in got.segments if len(s.content) > 100]
     with pytest.raises(ValueError):
         parse.parse(rows, options)
+
+
+def test_parse_keeps_documents_without_segments(spark):
+    rows = spark.createDataFrame([(1, "Page 7", None, None), (2, "One sentence. Another one.", None, None), (3, " ", None, None)], "doc_id long, text string, filename string, content binary")
+    got = {r.doc_id: r for r in parse.parse(rows).collect()}
+    assert {i: (r.status, len(r.segments)) for i, r in got.items()} == {1: ("success", 0), 2: ("success", 1), 3: ("error", 0)}
+    asked = parse.segments_of(rows.where("doc_id = 2").withColumn("text", F.lit("First one here。Second one here。" * 10)), parse.Options(segment_mode="semantic"), planner=lambda s: "no plan")
+    assert asked.count() > 0
+    broken = parse.segments_of(rows.where("doc_id = 2").withColumn("text", F.lit("First one here。Second one here。" * 10)), parse.Options(segment_mode="semantic"), planner=lambda s: 1 / 0)
+    assert broken.count() > 0
+
+
+def test_tasks_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "t", None), ("b", "u", "f.txt")], "task_id string, text string, filename string")
+    made = tasks.submit(spark, rows, "2024-01-01 12:00:00")
+    tasks.write_tasks(made, str(tmp_path / "tasks"))
+    back = tasks.read_tasks(spark, str(tmp_path / "tasks"))
+    assert {(r.task_id, r.status, r.text) for r in back.collect()} == {("a", "pending", "t"), ("b", "pending", "u")}
+    swept = {r.task_id: r for r in tasks.sweep(back, "2024-01-01 12:10:01").collect()}
+    assert all(r.status == "failed" and r.error_message for r in swept.values())
+    assert tasks.sweep(back, "2024-01-01 12:10:00").where("status = 'failed'").count() == 0
+    assert tasks.status_view(tasks.lookup(back, "a")).columns == ["task_id", "status", "progress", "created_at", "started_at", "completed_at", "error_message"]
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "x.txt").write_text("hello")
+    assert [(r.filename, bytes(r.content)) for r in documents.read_files(spark, str(tmp_path / "files")).collect()] == [("x.txt", b"hello")]
+
+
+def test_small_helpers(spark):
+    assert one(spark, packing.numbered_prompt, ["x", "y"]) == "[1] x\n[2] y"
+    assert "thirteen" not in labels.prompt("single", "T") and V.TAGS[0] in labels.prompt("single", "T")
+    assert chunks.parse_chunk_texts('x [{"content": "a"}, {"content": "b"}]') == ["a", "b"]
+    assert one(spark, lambda a: documents.suffix(a), "a/b.TXT") == ".txt"
+    assert documents.salvage_text(("甲乙丙，" * 60).encode()) == "甲乙丙，" * 60
