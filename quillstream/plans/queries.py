@@ -272,9 +272,11 @@ QUERIES = {
 _CLEAN = _STRIP(f"array_to_string(list_transform(string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda x: {_STRIP('x')}), chr(10))")
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL"
 _ENDS = r"[。！？；.!?…\"）)][\s\x0b]*$"
-_FACTS = f"""SELECT *, {_STRIP('line')} AS s, regexp_matches(line, '\\S') AS full_, NOT regexp_matches(line, '{_ENDS}') AS open_ FROM ({_LINES}) WHERE NOT regexp_matches({_STRIP('line')}, '{_PAGE}')"""
-_JOINS = f"""SELECT *, coalesce(lag(full_ AND open_) OVER w, false) AND full_ AND NOT regexp_matches(s, '{_LIST}') AND NOT regexp_matches(s, '{_START}') AS joins,
-  row_number() OVER w AS rn FROM ({_FACTS}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"""
+_facts = lambda lines: f"""SELECT *, {_STRIP('line')} AS s, regexp_matches(line, '\\S') AS full_, NOT regexp_matches(line, '{_ENDS}') AS open_ FROM ({lines}) WHERE NOT regexp_matches({_STRIP('line')}, '{_PAGE}')"""
+_joins = lambda lines: f"""SELECT *, coalesce(lag(full_ AND open_) OVER w, false) AND full_ AND NOT regexp_matches(s, '{_LIST}') AND NOT regexp_matches(s, '{_START}') AS joins,
+  row_number() OVER w AS rn FROM ({_facts(lines)}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"""
+_JOINS = _joins(_LINES)
+_JOINED = "string_agg(CASE WHEN rn = 1 THEN '' WHEN joins THEN ' ' ELSE chr(10) END || CASE WHEN joins OR (full_ AND open_) THEN s ELSE line END, '' ORDER BY line_no)"
 _SEG = lambda seg: f"SELECT doc_id, CAST(unnest(range(1, len(g) + 1)) AS INTEGER) AS segment_id, unnest(g) AS content FROM ({seg})"
 _STATE = "CAST(struct_pack(done := [], cur := {cur}, unit := {unit}) AS STRUCT(done VARCHAR[], cur VARCHAR, unit VARCHAR))"
 
@@ -293,9 +295,51 @@ _MERGE = _reduce(
     f"CASE WHEN a.cur = '' OR length(a.cur) + length(x.unit) >= 200 THEN x.unit ELSE {_STRIP('a.cur || chr(10) || x.unit')} END",
 )
 
+_BLANK_LINE = "chr(10) || '\\s*' || chr(10)"
+_BLOCKS = _reduce(
+    f"string_split_regex(text, {_BLANK_LINE})", f"CASE WHEN length(a.cur) + length(x.unit) > {V.UNIFIED_BLOCK} AND a.cur <> '' THEN list_append(a.done, {_STRIP('a.cur')}) ELSE a.done END",
+    f"CASE WHEN length(a.cur) + length(x.unit) > {V.UNIFIED_BLOCK} OR a.cur = '' THEN x.unit ELSE a.cur || chr(10) || chr(10) || x.unit END",
+)
+_FITS = f"length(a.cur) + length(x.unit) < {V.PRESEGMENT}"
+_SENTENCES = f"""list_transform(list_filter(list_transform(regexp_extract_all(p, '{_UNIT}'), lambda u: struct_pack(body := {_STRIP("regexp_replace(u, '[。！？；\\n]$', '')")}, tail := regexp_extract(u, '[。！？；\\n]$'))),
+  lambda u: u.body <> ''), lambda u: u.body || u.tail)"""
+_SHORT_PACK = _reduce(_SENTENCES, f"CASE WHEN NOT ({_FITS}) AND a.cur <> '' THEN list_append(a.done, {_STRIP('a.cur')}) ELSE a.done END", f"CASE WHEN {_FITS} THEN a.cur || x.unit ELSE x.unit END")
+_PARAGRAPHS = lambda texts: f"""SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS p_no FROM (SELECT doc_id,
+  list_filter(list_transform(string_split_regex(text, {_BLANK_LINE}), lambda p: {_STRIP('p')}), lambda p: p <> '') AS ps FROM ({texts}))"""
+_TAIL = lambda done: f"CASE WHEN regexp_matches(r.cur, '\\S') THEN list_append({done}, {_STRIP('r.cur')}) ELSE {done} END"
+# Neighbours: the first unit is the fold's first state, as an empty unit is one too.
+_ONE_TEXT = f"""NOT regexp_matches({_STRIP('a.cur')}, '[。！？；.!?]$') OR regexp_matches({_STRIP('x.cur')}, '^(?:[a-z]|{'|'.join(V.CONNECTIVES)})') OR (length(a.cur) < 100 AND length(x.cur) < 100)"""
+_NEIGHBOURS = f"""list_reduce(list_transform(string_split(text, chr(10)), lambda u: CAST(struct_pack(done := [], cur := u) AS STRUCT(done VARCHAR[], cur VARCHAR))),
+  lambda a, x: struct_pack(done := CASE WHEN {_ONE_TEXT} THEN a.done ELSE list_append(a.done, a.cur) END, cur := CASE WHEN {_ONE_TEXT} THEN a.cur || chr(10) || x.cur ELSE x.cur END))"""
+_IS_ITEM = lambda c: f"regexp_matches({_STRIP(c)}, '{_LIST}')"
+_MOST = V.LONG_PARAGRAPH
+# A list's atoms: an item with the lines that continue it, up to a blank line; other lines alone.
+_ATOMS = f"""SELECT doc_id, p_no, atom, string_agg(line, chr(10) ORDER BY i) AS t, bool_or(item) AS item FROM (SELECT *, sum(CASE WHEN item OR NOT full_ OR NOT coalesce(grows, false) THEN 1 ELSE 0 END) OVER w AS atom
+  FROM (SELECT *, last_value(CASE WHEN item THEN true WHEN NOT full_ THEN false END IGNORE NULLS) OVER w AS grows FROM (SELECT *, {_IS_ITEM('line')} AS item, regexp_matches(line, '\\S') AS full_
+    FROM (SELECT doc_id, p_no, unnest(string_split(p, chr(10))) AS line, unnest(range(len(string_split(p, chr(10))))) AS i FROM paras WHERE long_list)) WINDOW w AS (PARTITION BY doc_id, p_no ORDER BY i))
+  WINDOW w AS (PARTITION BY doc_id, p_no ORDER BY i)) GROUP BY doc_id, p_no, atom"""
+_FLUSH = f"a.size + length(x.cur) > {_MOST}"
+_ATOM = "CAST(struct_pack(done := [], cur := {cur}, size := {size}, item := {item}) AS STRUCT(done VARCHAR[], cur VARCHAR, size BIGINT, item BOOLEAN))"
+_LISTS = f"""SELECT doc_id, p_no, list_append(r.done, r.cur) AS g FROM (SELECT doc_id, p_no, list_reduce(list({_ATOM.format(cur='t', size='length(t) + CASE WHEN item THEN 0 ELSE 1 END', item='item')} ORDER BY atom),
+  lambda a, x: struct_pack(done := CASE WHEN {_FLUSH} THEN list_append(a.done, a.cur) ELSE a.done END, cur := CASE WHEN {_FLUSH} THEN x.cur ELSE a.cur || chr(10) || x.cur END,
+    size := CASE WHEN {_FLUSH} THEN 0 ELSE a.size END + x.size, item := x.item)) AS r FROM ({_ATOMS}) GROUP BY doc_id, p_no)"""
+_LEAST = f"length(x.unit) < {V.SHORT_SEGMENT}"
+_ROOM = f"length(a.cur) + length(x.unit) < {_MOST}"
+_WITH_SHORT = _reduce(
+    "segments", f"CASE WHEN a.cur <> '' AND NOT ({_LEAST}) AND NOT ({_ROOM}) THEN list_append(a.done, a.cur) ELSE a.done END",
+    f"CASE WHEN a.cur = '' THEN x.unit WHEN {_LEAST} THEN {_STRIP('a.cur || chr(10) || x.unit')} WHEN {_ROOM} THEN a.cur || chr(10) || x.unit ELSE x.unit END",
+)
+_RULES = f"""WITH cleaned AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM (SELECT doc_id, {_CLEAN} AS text FROM documents WHERE text IS NOT NULL)),
+  joined AS (SELECT doc_id, {_JOINED} AS text FROM ({_joins('FROM cleaned')}) GROUP BY doc_id),
+  paras AS MATERIALIZED (SELECT *, length(p) > {_MOST} AND len(list_filter(string_split(p, chr(10)), lambda x: {_IS_ITEM('x')}))::DOUBLE / len(string_split(p, chr(10))) > 0.3 AS long_list FROM ({_PARAGRAPHS('FROM joined')})),
+  parts AS (SELECT doc_id, p_no, [p] AS g FROM paras WHERE length(p) <= {_MOST} UNION ALL SELECT * FROM ({_LISTS})
+    UNION ALL SELECT doc_id, p_no, {_TAIL('r.done')} AS g FROM (SELECT doc_id, p_no, {_PACK.replace('text', 'p')} AS r FROM paras WHERE length(p) > {_MOST} AND NOT long_list)),
+  whole AS (SELECT doc_id, flatten(list(g ORDER BY p_no)) AS segments FROM parts GROUP BY doc_id)
+  SELECT doc_id, CASE WHEN r.cur <> '' THEN list_append(r.done, r.cur) WHEN len(r.done) > 0 THEN r.done ELSE segments END AS g FROM (SELECT doc_id, segments, {_WITH_SHORT} AS r FROM whole)"""
+
 ORACLE = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS text FROM documents",
-    "join_broken_lines": f"""SELECT doc_id, coalesce(string_agg(CASE WHEN rn = 1 THEN '' WHEN joins THEN ' ' ELSE chr(10) END || CASE WHEN joins OR (full_ AND open_) THEN s ELSE line END, '' ORDER BY line_no), '') AS text
+    "join_broken_lines": f"""SELECT doc_id, coalesce({_JOINED}, '') AS text
       FROM (SELECT doc_id FROM documents) LEFT JOIN ({_JOINS}) USING (doc_id) GROUP BY doc_id""",
     "line_groups": f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS group_no FROM ({_JOINS})",
     "list_line_ratio": f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches({_STRIP('x')}, '{_LIST}')))::DOUBLE / len(string_split(text, chr(10))) AS ratio FROM documents",
@@ -304,6 +348,11 @@ ORACLE = {
       regexp_matches(line, '{_ENDS}') AS terminated, regexp_matches(s, '{_PAGE}') AS page_marker, count(*) AS n FROM (SELECT line, {_STRIP('line')} AS s FROM ({_LINES})) GROUP BY ALL""",
     "pack_sentences": _SEG(f"SELECT doc_id, CASE WHEN len(g) > 0 THEN g ELSE [text] END AS g FROM (SELECT doc_id, text, CASE WHEN regexp_matches(r.cur, '\\S') THEN list_append(r.done, {_STRIP('r.cur')}) ELSE r.done END AS g FROM (SELECT doc_id, text, {_PACK} AS r FROM documents))"),
     "fallback_merge": _SEG(f"SELECT doc_id, CASE WHEN r.cur <> '' THEN list_append(r.done, r.cur) WHEN len(r.done) > 0 THEN r.done ELSE string_split(text, chr(10)) END AS g FROM (SELECT doc_id, text, {_MERGE} AS r FROM documents)"),
+    "rule_segments": _SEG(_RULES),
+    "presegment": f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_no, k) AS INTEGER) AS segment_id, content FROM (SELECT doc_id, p_no, unnest(g) AS content, unnest(range(len(g))) AS k
+      FROM (SELECT doc_id, p_no, {_TAIL('r.done')} AS g FROM (SELECT doc_id, p_no, {_SHORT_PACK} AS r FROM ({_PARAGRAPHS('FROM documents')}))))""",
+    "unified_blocks": _SEG(f"SELECT doc_id, CASE WHEN len(g) > 0 THEN g ELSE [text] END AS g FROM (SELECT doc_id, text, {_TAIL('r.done')} AS g FROM (SELECT doc_id, text, {_BLOCKS} AS r FROM documents))"),
+    "merge_neighbours": _SEG(f"SELECT doc_id, list_append(r.done, r.cur) AS g FROM (SELECT doc_id, {_NEIGHBOURS} AS r FROM documents)"),
     "sliding_chunks": f"""WITH RECURSIVE c AS (SELECT doc_id, text, 1 AS chunk_id, 0 AS start_pos, NULL::INTEGER AS end_pos FROM documents WHERE regexp_matches(text, '\\S')),
       e AS (SELECT doc_id, text, 0 AS chunk_id, 0 AS s, 0 AS e FROM c UNION ALL
         SELECT doc_id, text, chunk_id + 1, n, CASE WHEN n + {SIZE} >= length(text) THEN length(text) ELSE n + CASE WHEN k > 0 THEN {SIZE // 2} + k ELSE {SIZE} END END
