@@ -337,10 +337,23 @@ _RULES = f"""WITH cleaned AS MATERIALIZED (SELECT doc_id, unnest(string_split(te
   whole AS (SELECT doc_id, flatten(list(g ORDER BY p_no)) AS segments FROM parts GROUP BY doc_id)
   SELECT doc_id, CASE WHEN r.cur <> '' THEN list_append(r.done, r.cur) WHEN len(r.done) > 0 THEN r.done ELSE segments END AS g FROM (SELECT doc_id, segments, {_WITH_SHORT} AS r FROM whole)"""
 
+_KEYWORDS = " ".join(f"WHEN {' OR '.join(f'contains(lower(content), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{tag}'" for tag, ws in V.TAG_KEYWORDS)
+# The keyword labels are all below the limit of smoothing.
+_LABELLED = f"""SELECT doc_id, segment_id, content, CASE WHEN b = a THEN b ELSE tag END AS tag FROM (SELECT *, lag(tag) OVER w AS b, lead(tag) OVER w AS a
+  FROM (SELECT *, CASE {_KEYWORDS} ELSE '{V.OTHER}' END AS tag FROM ({_SEG(_RULES)})) WINDOW w AS (PARTITION BY doc_id ORDER BY segment_id))"""
+_PARSED = f"""WITH m AS MATERIALIZED (SELECT *, tag = '{V.ABSTRACT}' OR (tag = '{V.TITLE}' AND sum(CASE WHEN tag = '{V.TITLE}' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY segment_id) = 1) AS used FROM ({_LABELLED})),
+  h AS (SELECT doc_id, arg_min({_STRIP('content')}, segment_id) FILTER (tag = '{V.TITLE}') AS title, string_agg({_STRIP('content')}, chr(10) ORDER BY segment_id) FILTER (tag = '{V.ABSTRACT}') AS abstract FROM m GROUP BY doc_id),
+  k AS (SELECT doc_id, count(*) AS n, {_STRIP('string_agg(content, chr(10) ORDER BY segment_id)')} AS body FROM (SELECT *, sum(CASE WHEN used THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id) AS others FROM m) WHERE NOT used OR others = 0 GROUP BY doc_id),
+  d AS (SELECT doc_id, coalesce(regexp_matches(text, '\\S'), false) AS ok FROM documents),
+  c AS (SELECT *, regexp_extract(substr(body, 1, 500), '(?s)^.*[。！？；.!?]', 0) AS head FROM k)
+  SELECT doc_id, CASE WHEN ok THEN 'success' ELSE 'error' END AS status, title,
+    length(coalesce(abstract, CASE WHEN length(body) <= 500 THEN body WHEN length(head) - 1 > 250 THEN head ELSE substr(body, 1, 500) END))::INTEGER AS abstract_chars, coalesce(n, 0)::INTEGER AS n_segments
+  FROM d LEFT JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
 ORACLE = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS text FROM documents",
-    "join_broken_lines": f"""SELECT doc_id, coalesce({_JOINED}, '') AS text
-      FROM (SELECT doc_id FROM documents) LEFT JOIN ({_JOINS}) USING (doc_id) GROUP BY doc_id""",
+    "join_broken_lines": f"""SELECT doc_id, CASE WHEN bool_or(given) THEN coalesce({_JOINED}, '') END AS text
+      FROM (SELECT doc_id, text IS NOT NULL AS given FROM documents) LEFT JOIN ({_JOINS}) USING (doc_id) GROUP BY doc_id""",
     "line_groups": f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS group_no FROM ({_JOINS})",
     "list_line_ratio": f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches({_STRIP('x')}, '{_LIST}')))::DOUBLE / len(string_split(text, chr(10))) AS ratio FROM documents",
     "line_kinds": f"""SELECT CASE WHEN regexp_matches(s, '^[0-9]+[.、]') THEN 'num_dot' WHEN regexp_matches(s, '^[(（][0-9]+[)）]') THEN 'paren_num' WHEN regexp_matches(s, '^[①-⑳]') THEN 'circle'
@@ -352,7 +365,7 @@ ORACLE = {
     "presegment": f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_no, k) AS INTEGER) AS segment_id, content FROM (SELECT doc_id, p_no, unnest(g) AS content, unnest(range(len(g))) AS k
       FROM (SELECT doc_id, p_no, {_TAIL('r.done')} AS g FROM (SELECT doc_id, p_no, {_SHORT_PACK} AS r FROM ({_PARAGRAPHS('FROM documents')}))))""",
     "unified_blocks": _SEG(f"SELECT doc_id, CASE WHEN len(g) > 0 THEN g ELSE [text] END AS g FROM (SELECT doc_id, text, {_TAIL('r.done')} AS g FROM (SELECT doc_id, text, {_BLOCKS} AS r FROM documents))"),
-    "merge_neighbours": _SEG(f"SELECT doc_id, list_append(r.done, r.cur) AS g FROM (SELECT doc_id, {_NEIGHBOURS} AS r FROM documents)"),
+    "merge_neighbours": _SEG(f"SELECT doc_id, list_append(r.done, r.cur) AS g FROM (SELECT doc_id, {_NEIGHBOURS} AS r FROM documents WHERE text IS NOT NULL)"),
     "sliding_chunks": f"""WITH RECURSIVE c AS (SELECT doc_id, text, 1 AS chunk_id, 0 AS start_pos, NULL::INTEGER AS end_pos FROM documents WHERE regexp_matches(text, '\\S')),
       e AS (SELECT doc_id, text, 0 AS chunk_id, 0 AS s, 0 AS e FROM c UNION ALL
         SELECT doc_id, text, chunk_id + 1, n, CASE WHEN n + {SIZE} >= length(text) THEN length(text) ELSE n + CASE WHEN k > 0 THEN {SIZE // 2} + k ELSE {SIZE} END END
@@ -381,6 +394,8 @@ ORACLE = {
     "parse_batch": f"""SELECT p_partkey, CAST(i AS INTEGER) AS item, CASE WHEN p_partkey % 2 = 0 THEN CASE i WHEN 1 THEN '{V.TITLE}' ELSE '{V.TAGS[6]}' END ELSE CASE i WHEN 1 THEN '{V.ABSTRACT}' ELSE '{V.OTHER}' END END AS tag,
       CASE WHEN p_partkey % 2 = 0 THEN CASE i WHEN 1 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END ELSE CASE i WHEN 1 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END END AS confidence FROM part, (SELECT unnest([1, 2]) AS i)""",
     "apply_plan": _SEG("SELECT doc_id, CASE WHEN len(l) >= 2 THEN list_concat([l[2] || chr(10) || l[1]], l[3:]) ELSE l END AS g FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"),
+    "label_documents": f"SELECT tag, count(*) AS n FROM ({_LABELLED}) GROUP BY tag",
+    "parse_documents": _PARSED,
     "decode_files": "SELECT doc_id, text, NULL::VARCHAR AS error FROM documents WHERE text <> ''",
     "task_latest": f"""SELECT task_id, coalesce(arg_min(status, (ts, status)) FILTER (status IN ('completed', 'failed')), arg_max(status, (ts, status))) AS status, count(*) AS n_events FROM ({_EVENTS}) GROUP BY task_id""",
     "task_stuck": f"""SELECT task_id, status FROM ({_TASKS}) WHERE (status = 'processing' AND (coalesce(last_activity, started_at) IS NULL OR TIMESTAMP '{NOW}' - INTERVAL 600 SECOND > coalesce(last_activity, started_at)))

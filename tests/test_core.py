@@ -228,3 +228,36 @@ def test_small_helpers(spark):
     assert chunks.parse_chunk_texts('x [{"content": "a"}, {"content": "b"}]') == ["a", "b"]
     assert one(spark, lambda a: documents.suffix(a), "a/b.TXT") == ".txt"
     assert documents.salvage_text(("甲乙丙，" * 60).encode()) == "甲乙丙，" * 60
+
+
+def _odd_documents(seed):
+    """Texts of Chinese headings, lists with lines that continue them, page lines, blanks and long lines."""
+    import random
+
+    r = random.Random(seed)
+    bits = ["一、研究背景", "1. 第一项", "（二）目标 说明", "(3) 子项", "- 要点", "第三条 内容", "第2页", "page 7", "- 12 -", "研究内容如下，", "而且结果很好。", "继续的一行没有结尾", "and so it goes", "The end.", "", "", "  "]
+    bits += ["①圈", "a. 字母项", "x" * 40 + "。", "长句" * 30 + "；", "短！", "结束”"]
+    out = ["\n".join(r.choice(bits) * r.choice([1, 1, 1, 4]) for _ in range(r.choice([1, 3, 8, 30, 120, 400]))) for _ in range(120)]
+    item = lambda: r.choice(["1. ", "- ", "第一条", "(2)"]) + "项目内容" * r.randint(1, 60) + r.choice(["", "。", "；"])
+    more = lambda: r.choice(["后续行", "延续"]) * r.randint(1, 40) + r.choice(["。", "", "x"])
+    out += ["\n".join(item() if r.random() < 0.6 else more() for _ in range(r.choice([20, 60, 200]))) for _ in range(20)]
+    heads = ["标题：甲项目", "摘要：" + "这是一段摘要。" * 20, "研究目标" + "是这样的。" * 40, "无关" * 300 + "。", "技术路线" * 120 + "。"]
+    out += ["\n\n".join(r.choice(heads) * r.choice([1, 8, 30]) for _ in range(r.choice([2, 5, 9]))) for _ in range(60)]
+    return [*out, "", "\n", "Page 7", "一句", "。。。", "\n\n\n", None]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_folds_equal_their_sql_on_lists(spark, tmp_path, seed):
+    import duckdb
+
+    from quillstream.plans import queries
+
+    spark.createDataFrame(list(enumerate(_odd_documents(seed))), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert any(r[0] for r in c.execute(f"SELECT max(len(g)) FROM ({queries._RULES}) HAVING max(len(g)) > 3").fetchall())
+    for name in ("rule_segments", "presegment", "unified_blocks", "merge_neighbours", "join_broken_lines", "clean_text", "line_groups", "pack_sentences", "line_kinds", "list_line_ratio", "label_documents", "parse_documents"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        cur = c.execute(queries.ORACLE[name])
+        at = [[d[0] for d in cur.description].index(x) for x in got.columns]
+        assert sorted(map(repr, (tuple(r[i] for i in at) for r in cur.fetchall()))) == sorted(repr(tuple(r)) for r in got.collect()), name
