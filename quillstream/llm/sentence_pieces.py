@@ -10,7 +10,8 @@ by (max, +), which is associative. Once the states at the borders are known each
 own. A border between characters that no token holds side by side (before a space, for one) has the single
 state "no token straddles it", so its row of the matrix is all there is; borders are put there where one is
 near, and elsewhere where there is none. Inside a chunk the same borders cut the lattice into words whose
-paths are remembered (bounded, then emptied, and forgotten when a task ends).
+paths are remembered (bounded, then emptied; kept from task to task where whole texts are encoded, else forgotten
+when a task ends).
 
 Scale: texts of at most CHUNK characters are encoded where they are read. Only chunks of longer ones are
 shuffled, dealt by text and chunk; combining takes a few numbers a chunk.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ State = tuple[int, int]  # a token, and how many of its characters lie beyond th
 
 
 class Pieces:
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,7 +65,7 @@ class Pieces:
         self.words = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.line_alone = "\n" not in self.symbols
         self.keep = keep
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -81,8 +83,8 @@ class Pieces:
                 out += [self.byte[x] for x in self.lattice.pieces[t].encode("utf-8", "surrogatepass")]
         return out
 
-    def stretch(self, s: str) -> list[int]:
-        """Ids of a stretch between free borders."""
+    def stretch(self, s: str) -> bytes:
+        """Ids of a stretch between free borders, packed."""
         got = self.seen.get(s)
         if got is not None:
             return got
@@ -94,20 +96,18 @@ class Pieces:
                 out += [self.byte[x] for x in c.encode("utf-8", "surrogatepass")]
                 at = i + 1
         out += self.ids(self.lattice.encode(s[at:])) if at < len(s) else []
+        packed = array("i", out).tobytes()
         if len(s) < 100:
             if len(self.seen) >= self.keep:
                 self.seen.clear()
-            self.seen[s] = out
-        return out
+            self.seen[s] = packed
+        return packed
 
-    def between(self, s: str) -> list[int]:
+    def between(self, s: str) -> array:
         """Ids of a text between free borders: a word a stretch."""
         parts = self.words.findall(s) if self.line_alone else re.findall(rf"{SPACE}*[^{SPACE}]+|{SPACE}+", s)
-        out: list[int] = []
-        seen = self.seen
-        for p in parts:
-            out += seen.get(p) or self.stretch(p)
-        return out
+        seen, stretch = self.seen, self.stretch
+        return array("i", b"".join([seen.get(p) or stretch(p) for p in parts]))
 
     # Chunks
 
@@ -195,14 +195,17 @@ class Pieces:
                 out += self.ids(self.lattice.path(s[beyond:], last, len(p["body"]) + z[1] - beyond))
         return out
 
-    def encode(self, text: str | None, chunk: int = CHUNK, reach: int = REACH) -> list[int]:
+    def codes(self, text: str | None, chunk: int = CHUNK, reach: int = REACH) -> array:
         if not text:
-            return []
+            return array("i")
         if len(text) <= chunk:
             return self.between(self.normal(text))
         parts = self.chunks(text, chunk, reach)
         states = border_states([self.transfer(c) for c in parts])
-        return [i for c, a, b in zip(parts, states, states[1:]) for i in self.trace(c, a, b)]
+        return array("i", [i for c, a, b in zip(parts, states, states[1:]) for i in self.trace(c, a, b)])
+
+    def encode(self, text: str | None, chunk: int = CHUNK, reach: int = REACH) -> list[int]:
+        return self.codes(text, chunk, reach).tolist()
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -259,20 +262,24 @@ def pieces(path: str) -> Pieces:
     return _BY_FILE[path]
 
 
-def _forget() -> None:
+def _forget(words: bool = True) -> None:
     for p in _BY_FILE.values():
-        p.seen.clear()
         p.lattice.forget()
+        if words:
+            p.seen.clear()
 
 
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 _CHUNKS = "row long, doc_id long, chunk int, part string"
 
 
-def _out(p: Pieces, doc_ids: pa.Array, texts, ids: list[list[int]]) -> pa.RecordBatch:
+def _out(p: Pieces, doc_ids: pa.Array, texts, ids) -> pa.RecordBatch:
+    """ids: an array or list of integers a text."""
+    flat = np.frombuffer(b"".join([array("i", i).tobytes() for i in ids]), np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
     same = [p.decode(i) == (t or "").replace(SPACE, " ") for t, i in zip(texts, ids)]
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]
+        [doc_ids, pa.array(list(map(len, ids)), pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"]
     )
 
 
@@ -285,7 +292,7 @@ def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, reach: int = RE
         p = pieces(vocabulary)
         for b in batches:
             texts = b.column("text").to_pylist()
-            yield _out(p, b.column("doc_id"), texts, [p.encode(t, chunk, reach) for t in texts])
+            yield _out(p, b.column("doc_id"), texts, [p.codes(t, chunk, reach) for t in texts])
 
     def cut(batches):
         p = pieces(vocabulary)
@@ -325,7 +332,7 @@ def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, reach: int = RE
         for b in batches:
             yield _out(p, b.column("doc_id"), b.column("text").to_pylist(), b.column("ids").to_pylist())
 
-    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(tidy(small, _forget), _ENCODED)
+    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(tidy(small, lambda: _forget(words=False)), _ENCODED)
     long = src.where(F.length("text") > chunk)
     # Numbered once and written, so that a row keeps its number when a task runs again.
     long, _ = materialize(long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "giants")
