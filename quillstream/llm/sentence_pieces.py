@@ -46,7 +46,7 @@ State = tuple[int, int]  # a token, and how many of its characters lie beyond th
 
 
 class Pieces:
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 700_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
