@@ -141,7 +141,23 @@ class MergeLattice:
         return out[::-1]
 
     def encode(self, text: str) -> list[int]:
-        return self.path(text, self.scan(text)[0], len(text))
+        """The tokens of a text: scan() without its counts, traced back."""
+        last: list[int | None] = [None] * (len(text) + 1)
+        kind, pair = self.kind, self.pair
+        last[0] = -1
+        for e, (size, i) in self.ends.iter(text):
+            e += 1
+            if last[e] is None and (prev := last[e - size]) is not None and (k := kind[i]):
+                if k == 2 and not self.is_token(i):
+                    continue
+                if prev >= 0:
+                    ok = pair.get(prev << 32 | i)
+                    if ok is None:
+                        ok = self.follows(prev, i)
+                    if not ok:
+                        continue
+                last[e] = i
+        return self.path(text, last, len(text))
 
     def prefix_counts(self, text: str) -> list[int]:
         """Token count of the encoding of every prefix, 0..n symbols."""

@@ -9,9 +9,9 @@ border and each that may straddle its right border, the best weight of a path be
 by (max, +), which is associative. Once the states at the borders are known each chunk is traced back on its
 own. A border between characters that no token holds side by side (before a space, for one) has the single
 state "no token straddles it", so its row of the matrix is all there is; borders are put there where one is
-near, and elsewhere where there is none. Inside a chunk the same borders cut the lattice into words whose
-paths are remembered (bounded, then emptied; kept from task to task where whole texts are encoded, else forgotten
-when a task ends).
+near, and elsewhere where there is none. A chunk between two such borders is traced back when it is scanned, the
+others once their states are known. Inside a chunk the same borders cut the lattice into words whose paths are
+remembered (bounded; a worker keeps them from task to task).
 
 Scale: texts of at most CHUNK characters are encoded where they are read. Only chunks of longer ones are
 shuffled, dealt by text and chunk; combining takes a few numbers a chunk.
@@ -46,7 +46,7 @@ State = tuple[int, int]  # a token, and how many of its characters lie beyond th
 
 
 class Pieces:
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,10 +62,19 @@ class Pieces:
         self.symbols = {c for p in scores for c in p}
         self.beside = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         self.bytes_of = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if not plain[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-        self.words = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.line_alone = "\n" not in self.symbols
+        line = "\n" if self.line_alone else ""
+        self.starts = re.compile(f"[{SPACE}{line}]")
+        self.words = re.compile(rf"{SPACE}+[^{SPACE}{line}]*" + (rf"|\n[^{SPACE}\n]*" if line else ""))
+        letter = re.compile(r"[^\W\d_]")
+        apart = all(a == SPACE or bool(letter.match(a)) == bool(letter.match(b)) for a, b in self.beside)
+        self.runs = re.compile(rf"{SPACE}*(?:[^\W\d_]+|[\W\d_]+)" if apart else ".+", re.S)
+        self.short: dict[str, bytes] = {}
+        #: Remembered words, ids as 32-bit integers. Where there are `keep` they become the older ones, whose
+        #: words come back when they are met again; the older ones before are forgotten.
         self.keep = keep
-        self.seen: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -75,6 +84,8 @@ class Pieces:
         return a + b not in self.beside
 
     def ids(self, tokens: list[int]) -> list[int]:
+        if max(tokens, default=0) < self.size:
+            return tokens
         out: list[int] = []
         for t in tokens:
             if t < self.size:
@@ -83,31 +94,70 @@ class Pieces:
                 out += [self.byte[x] for x in self.lattice.pieces[t].encode("utf-8", "surrogatepass")]
         return out
 
-    def stretch(self, s: str) -> bytes:
-        """Ids of a stretch between free borders, packed."""
-        got = self.seen.get(s)
-        if got is not None:
-            return got
-        out: list[int] = []
-        at = 0
-        for i, c in enumerate(s):
-            if c not in self.symbols:
-                out += self.ids(self.lattice.encode(s[at:i])) if i > at else []
-                out += [self.byte[x] for x in c.encode("utf-8", "surrogatepass")]
-                at = i + 1
-        out += self.ids(self.lattice.encode(s[at:])) if at < len(s) else []
-        packed = array("i", out).tobytes()
-        if len(s) < 100:
+    def stretch(self, key: str) -> bytes:
+        """Ids of a word, packed. A key with a line feed first (where that is no symbol) stands for itself, any
+        other for a space and itself."""
+        packed = self.older.get(key)
+        if packed is None:
+            packed = self.literal(key if self.line_alone and key[:1] == "\n" else SPACE + key)
+        if len(key) < 100:
             if len(self.seen) >= self.keep:
-                self.seen.clear()
-            self.seen[s] = packed
+                self.older, self.seen = self.seen, {}
+            self.seen[key] = packed
         return packed
 
+    def literal(self, s: str) -> bytes:
+        """Ids of a stretch between free borders, packed: cut where letters meet other characters, and at every
+        free border where a run holds a character that is no symbol."""
+        out, runs = [], self.runs.findall(s)
+        for run in runs:
+            if len(runs) > 1 and run[0] == SPACE and (got := self.seen.get(run[1:]) or self.older.get(run[1:])):
+                out.append(got)
+            elif len(run) == 1 or self.symbols.issuperset(run):
+                out.append(self.run(run))
+            else:
+                at = 0
+                for e in [*(i for i in range(1, len(run)) if self.free(run[i - 1], run[i])), len(run)]:
+                    out.append(self.run(run[at:e]))
+                    at = e
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def run(self, s: str) -> bytes:
+        """Ids of a run of symbols or of one character, packed; short ones are remembered."""
+        if len(s) > 4:
+            return self.part(s)
+        got = self.short.get(s)
+        if got is None:
+            if len(self.short) >= self.keep // 8:
+                self.short.clear()
+            got = self.short[s] = self.part(s)
+        return got
+
+    def part(self, s: str) -> bytes:
+        """Ids of symbols, or of one character, between free borders, packed."""
+        one = self.lattice.number.get(s, self.size)
+        if one < self.size and self.lattice.is_token(one):
+            return array("i", (one,)).tobytes()
+        if len(s) == 1 and s not in self.symbols:
+            return array("i", [self.byte[x] for x in s.encode("utf-8", "surrogatepass")]).tobytes()
+        return array("i", self.ids(self.lattice.encode(s))).tobytes()
+
     def between(self, s: str) -> array:
-        """Ids of a text between free borders: a word a stretch."""
-        parts = self.words.findall(s) if self.line_alone else re.findall(rf"{SPACE}*[^{SPACE}]+|{SPACE}+", s)
+        """Ids of a stretch of normalised text between free borders."""
+        first = self.starts.search(s)
+        at = first.start() if first else len(s)
+        seen, stretch = self.seen, self.stretch
+        keys = [w[1:] if w[0] == SPACE else w for w in self.words.findall(s, at)]
+        return array("i", b"".join([self.literal(s[:at]) if at else b"", *[seen.get(k) or stretch(k) for k in keys]]))
+
+    def whole(self, text: str) -> array:
+        """Ids of a text that is not empty."""
+        if "  " in text or SPACE in text or text[0] == " ":
+            return self.between(self.normal(text))
+        if self.line_alone:
+            text = text.replace("\n", " \n")
         seen, stretch = self.seen, self.stretch
-        return array("i", b"".join([seen.get(p) or stretch(p) for p in parts]))
+        return array("i", b"".join([seen.get(k) or stretch(k) for k in text.split(" ")]))
 
     # Chunks
 
@@ -182,6 +232,14 @@ class Pieces:
                     got.append((entry, NO_TOKEN if c["right_free"] else (t, e - n), -counts[e - beyond]))
         return got
 
+    def crossed(self, c: dict) -> tuple[list[tuple[State, State, int]], array | None]:
+        """A chunk's transfer matrix, and its ids where both borders are free: one state at each leaves no choice,
+        so the path found by the scan is traced at once."""
+        if c["left_free"] and c["right_free"]:
+            ids = self.between(c["body"])
+            return [(NO_TOKEN, NO_TOKEN, -len(ids))], ids
+        return self.transfer(c), None
+
     def trace(self, c: dict, entry: State, exit_: State) -> list[int]:
         """Ids of the tokens that start in a chunk, given the states at its borders."""
         parts = self._parts(c)
@@ -199,10 +257,14 @@ class Pieces:
         if not text:
             return array("i")
         if len(text) <= chunk:
-            return self.between(self.normal(text))
+            return self.whole(text)
         parts = self.chunks(text, chunk, reach)
-        states = border_states([self.transfer(c) for c in parts])
-        return array("i", [i for c, a, b in zip(parts, states, states[1:]) for i in self.trace(c, a, b)])
+        crossed = [self.crossed(c) for c in parts]
+        states = border_states([m for m, _ in crossed])
+        out = array("i")
+        for c, (_, ids), a, b in zip(parts, crossed, states, states[1:]):
+            out.extend(self.trace(c, a, b) if ids is None else ids)
+        return out
 
     def encode(self, text: str | None, chunk: int = CHUNK, reach: int = REACH) -> list[int]:
         return self.codes(text, chunk, reach).tolist()
@@ -262,15 +324,8 @@ def pieces(path: str) -> Pieces:
     return _BY_FILE[path]
 
 
-def _forget(words: bool = True) -> None:
-    for p in _BY_FILE.values():
-        p.lattice.forget()
-        if words:
-            p.seen.clear()
-
-
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
-_CHUNKS = "row long, doc_id long, chunk int, part string"
+_CHUNKS = "row long, chunk int, free boolean, part string"
 
 
 def _out(p: Pieces, doc_ids: pa.Array, texts, ids) -> pa.RecordBatch:
@@ -297,20 +352,21 @@ def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, reach: int = RE
     def cut(batches):
         p = pieces(vocabulary)
         for b in batches:
-            for row, i, t in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+            for row, t in zip(*(b.column(c).to_pylist() for c in ("row", "text"))):
                 parts = p.chunks(t, chunk, reach)
                 for at in range(0, len(parts), 64):
                     some = parts[at : at + 64]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row] * len(some), pa.int64()), pa.array([i] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()), pa.array([json.dumps(c) for c in some])],
-                        names=["row", "doc_id", "chunk", "part"],
+                        [pa.array([row] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int32()), pa.array([c["left_free"] and c["right_free"] for c in some]), pa.array([json.dumps(c) for c in some])],
+                        names=["row", "chunk", "free", "part"],
                     )
 
     def transfers(batches):
         p = pieces(vocabulary)
         for b in batches:
-            m = [json.dumps(p.transfer(json.loads(x))) for x in b.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array(m)], names=["row", "chunk", "matrix"])
+            got = [p.crossed(json.loads(x)) for x in b.column("part").to_pylist()]
+            ids = pa.array([None if i is None else np.frombuffer(i, np.int32) for _, i in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("chunk"), pa.array([json.dumps(m) for m, _ in got]), ids], names=["row", "chunk", "matrix", "ids"])
 
     def joined(key, table):
         rows = sorted(zip(table["chunk"].to_pylist(), table["matrix"].to_pylist()))
@@ -332,18 +388,19 @@ def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, reach: int = RE
         for b in batches:
             yield _out(p, b.column("doc_id"), b.column("text").to_pylist(), b.column("ids").to_pylist())
 
-    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(tidy(small, lambda: _forget(words=False)), _ENCODED)
+    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(tidy(small), _ENCODED)
     long = src.where(F.length("text") > chunk)
     # Numbered once and written, so that a row keeps its number when a task runs again.
     long, _ = materialize(long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "giants")
     if not long.head(1):
         return short
-    parts, _ = materialize(long.mapInArrow(tidy(cut, _forget), _CHUNKS).repartition("row", "chunk"), "chunks")
-    matrices = parts.select("row", "chunk", "part").mapInArrow(tidy(transfers, _forget), "row long, chunk int, matrix string")
-    states, _ = materialize(matrices.groupBy("row").applyInArrow(joined, "row long, chunk int, states string"), "states")
-    pieces_of = parts.join(states, ["row", "chunk"]).select("row", "chunk", "part", "states").mapInArrow(tidy(traced, _forget), "row long, chunk int, ids array<int>")
+    parts, _ = materialize(long.select("row", "text").mapInArrow(tidy(cut), _CHUNKS).repartition("row", "chunk"), "chunks")
+    crossed, _ = materialize(parts.select("row", "chunk", "part").mapInArrow(tidy(transfers), "row long, chunk int, matrix string, ids array<int>"), "matrices")
+    states, _ = materialize(crossed.select("row", "chunk", "matrix").groupBy("row").applyInArrow(joined, "row long, chunk int, states string"), "states")
+    straddled = parts.where(~F.col("free")).join(states, ["row", "chunk"]).select("row", "chunk", "part", "states").mapInArrow(tidy(traced), "row long, chunk int, ids array<int>")
+    pieces_of = crossed.where(F.col("ids").isNotNull()).select("row", "chunk", "ids").unionByName(straddled)
     whole = pieces_of.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
-    giants = whole.join(long, "row").select("doc_id", "text", "ids").mapInArrow(tidy(finish, _forget), _ENCODED)
+    giants = whole.join(long, "row").select("doc_id", "text", "ids").mapInArrow(tidy(finish), _ENCODED)
     return short.unionByName(giants)
 
 
@@ -355,6 +412,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([p.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, _forget), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
