@@ -166,7 +166,7 @@ class Pieces:
         out, at = [(0, True)], 0
         while len(s) - at > chunk + reach:
             want = at + chunk
-            for p in range(want, want - reach, -1):
+            for p in range(want, want - max(reach, 1), -1):
                 if self.free(s[p - 1], s[p]):
                     out.append((p, True))
                     break
