@@ -180,7 +180,7 @@ class Pieces:
         s, wide = self.normal(text), self.lattice.longest - 1
         b = self.borders(s, chunk, reach)
         return [
-            {"before": "" if lf else s[max(0, x - wide) : x], "body": s[x:y], "after": "" if rf else s[y : y + wide], "left_free": lf, "right_free": rf}
+            {"before": "" if lf else s[max(0, x - wide - 1) : x], "body": s[x:y], "after": "" if rf else s[y : y + wide], "left_free": lf, "right_free": rf}
             for (x, lf), (y, rf) in zip(b, b[1:])
         ]
 
