@@ -11,7 +11,7 @@ own. A border between characters that no token holds side by side (before a spac
 state "no token straddles it", so its row of the matrix is all there is; borders are put there where one is
 near, and elsewhere where there is none. A chunk between two such borders is traced back when it is scanned, the
 others once their states are known. Inside a chunk the same borders cut the lattice into words whose paths are
-remembered (bounded; a worker keeps them from task to task).
+remembered (bounded; forgotten when a task ends, as workers outlive tasks and later stages need the memory).
 
 Scale: texts of at most CHUNK characters are encoded where they are read. Only chunks of longer ones are
 shuffled, dealt by text and chunk; combining takes a few numbers a chunk.
@@ -46,7 +46,7 @@ State = tuple[int, int]  # a token, and how many of its characters lie beyond th
 
 
 class Pieces:
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -324,6 +324,12 @@ def pieces(path: str) -> Pieces:
     return _BY_FILE[path]
 
 
+def _forget() -> None:
+    for p in _BY_FILE.values():
+        p.lattice.forget()
+        p.seen, p.older, p.short = {}, {}, {}
+
+
 _ENCODED = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
 _CHUNKS = "row long, chunk int, free boolean, part string"
 
@@ -388,19 +394,19 @@ def encode(docs: DataFrame, vocabulary: str, chunk: int = CHUNK, reach: int = RE
         for b in batches:
             yield _out(p, b.column("doc_id"), b.column("text").to_pylist(), b.column("ids").to_pylist())
 
-    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(tidy(small), _ENCODED)
+    short = src.where(F.length(F.coalesce("text", F.lit(""))) <= chunk).mapInArrow(tidy(small, _forget), _ENCODED)
     long = src.where(F.length("text") > chunk)
     # Numbered once and written, so that a row keeps its number when a task runs again.
     long, _ = materialize(long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "giants")
     if not long.head(1):
         return short
-    parts, _ = materialize(long.select("row", "text").mapInArrow(tidy(cut), _CHUNKS).repartition("row", "chunk"), "chunks")
-    crossed, _ = materialize(parts.select("row", "chunk", "part").mapInArrow(tidy(transfers), "row long, chunk int, matrix string, ids array<int>"), "matrices")
+    parts, _ = materialize(long.select("row", "text").mapInArrow(tidy(cut, _forget), _CHUNKS).repartition("row", "chunk"), "chunks")
+    crossed, _ = materialize(parts.select("row", "chunk", "part").mapInArrow(tidy(transfers, _forget), "row long, chunk int, matrix string, ids array<int>"), "matrices")
     states, _ = materialize(crossed.select("row", "chunk", "matrix").groupBy("row").applyInArrow(joined, "row long, chunk int, states string"), "states")
-    straddled = parts.where(~F.col("free")).join(states, ["row", "chunk"]).select("row", "chunk", "part", "states").mapInArrow(tidy(traced), "row long, chunk int, ids array<int>")
+    straddled = parts.where(~F.col("free")).join(states, ["row", "chunk"]).select("row", "chunk", "part", "states").mapInArrow(tidy(traced, _forget), "row long, chunk int, ids array<int>")
     pieces_of = crossed.where(F.col("ids").isNotNull()).select("row", "chunk", "ids").unionByName(straddled)
     whole = pieces_of.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
-    giants = whole.join(long, "row").select("doc_id", "text", "ids").mapInArrow(tidy(finish), _ENCODED)
+    giants = whole.join(long, "row").select("doc_id", "text", "ids").mapInArrow(tidy(finish, _forget), _ENCODED)
     return short.unionByName(giants)
 
 
@@ -412,6 +418,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([p.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, _forget), "doc_id long, text string")
 
 
