@@ -11,7 +11,7 @@ own. A border between characters that no token holds side by side (before a spac
 state "no token straddles it", so its row of the matrix is all there is; borders are put there where one is
 near, and elsewhere where there is none. A chunk between two such borders is traced back when it is scanned, the
 others once their states are known. Inside a chunk the same borders cut the lattice into words whose paths are
-remembered (bounded; forgotten when a task ends, as workers outlive tasks and later stages need the memory).
+remembered (bounded; words are forgotten when a task ends, the table of pairs stays, as workers outlive tasks and later stages need the memory).
 
 Scale: texts of at most CHUNK characters are encoded where they are read. Only chunks of longer ones are
 shuffled, dealt by text and chunk; combining takes a few numbers a chunk.
@@ -326,7 +326,6 @@ def pieces(path: str) -> Pieces:
 
 def _forget() -> None:
     for p in _BY_FILE.values():
-        p.lattice.forget()
         p.seen, p.older, p.short = {}, {}, {}
 
 
