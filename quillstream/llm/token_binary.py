@@ -7,7 +7,8 @@ size, plain size and checksum of each frame, then the number of frames, a descri
 takes the seek table and the directory, then decompresses the frames of the documents it wants and no others.
 The checksum of a frame is the lowest 32 bits of the XXH64 of its plain bytes.
 
-Scale: texts are encoded where they are read, then only token ids are range partitioned by doc_id (files
+Scale: texts are encoded where they are read (a worker remembers the words it met, bounded, from task to task and
+until files are packed), then only token ids are range partitioned by doc_id (files
 hold disjoint, ascending id ranges); counts of earlier files are summed from one row a file. Files hold at
 most `file_tokens` tokens or so, so a file fits in memory as one row.
 
@@ -31,26 +32,52 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.bpe import byte_symbols
-from quillstream.llm.common import bound_batches, drop, materialize, new_path, tidy
+from quillstream.llm.common import bound_batches, drop, materialize, new_path, release, tidy
 from quillstream.llm.zstd_frames import read_files, skippable, write_rows
 
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = struct.pack("<I", 0x8F92EAB1)
 _BY_FILE: dict[str, "ChunkEncoder"] = {}
 PLAIN = "\u0250"
-STOPS = (".", ",")
+#: ASCII characters that are no letter, digit or white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Most characters of a word that is remembered.
+WORD_CHARS = 64
 #: Normalizers (composed forms, white space, small letters) and pre-tokenizers (pieces by a pattern, bytes as
 #: symbols) as (type, behavior, invert, add_prefix_space, use_regex).
 STEPS = [("NFC", None, None, None, None), ("Replace", None, None, None, None), ("Lowercase", None, None, None, None), ("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
-#: Texts whose words are held at a time.
-SLICE = 128
 #: Stands for a null doc_id in a file's directory.
 NO_ID = -(2**63)
 
 
+class Words(dict):
+    """Words and what find() gives for them, worked out as they are asked for. Holds at most `keep` words and the
+    `keep` before them; words that are asked for again move up, so it's the rare ones that are forgotten."""
+
+    def __init__(self, find, keep: int):
+        self.find, self.keep = find, keep
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.find(word)
+            if len(word) > WORD_CHARS:
+                return got
+        if len(self) >= self.keep:
+            self.older = self.copy()
+            self.clear()
+        self[word] = got
+        return got
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class ChunkEncoder:
     """The library's ids of whole texts. White space always ends a word for vocabularies that drop it, so
-    stretches between spaces are encoded once each and remembered (bounded, then emptied).
+    stretches between spaces are encoded once each and remembered (bounded, the rare ones are forgotten).
 
     The library's whole encode() follows each character through normalizer and pre-tokenizer. For plain words
     (printable characters below PLAIN, where small letters and composed forms are beyond doubt) of a vocabulary with
@@ -63,8 +90,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.keep = keep
-        self.seen: dict[str, bytes] = {}
+        self.words = Words(self._word, keep)
         self.size = self.tokenizer.get_vocab_size()
         #: Bytes of an id on its way to a file.
         self.kind, self.code = ("<u2", "H") if self.size <= 2**16 else ("<u4", "I")
@@ -89,7 +115,8 @@ class ChunkEncoder:
         """For each text its ids as little-endian unsigned integers of `kind`."""
         if not self.by_word:
             return self._library([t or "" for t in texts])
-        return [x for at in range(0, len(texts), SLICE) for x in self._words(texts[at : at + SLICE])]
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, _small(t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
     def _direct(self, word: str) -> bytes:
         model, out = self.tokenizer.model.tokenize, []
@@ -97,30 +124,15 @@ class ChunkEncoder:
             out += [t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols))]
         return struct.pack(f"<{len(out)}{self.code}", *out)
 
-    def _plain(self, small: str) -> bytes:
-        """Ids of a plain word in small letters; a full stop or comma at its end is a piece of its own."""
-        base, stop = small[:-1], small[-1:]
-        if stop not in STOPS or not base.isalpha():
-            return self._direct(small)
-        return (self.seen.get(base) or self._direct(base)) + (self.seen.get(stop) or self._direct(stop))
-
-    def _words(self, texts: list[str | None]) -> list[bytes]:
-        split = [_small(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        seen = self.seen
-        if len(seen) >= self.keep:
-            seen.clear()
-        new = {w for ws in split for w in ws}.difference(seen)
-        odd = []
-        for w in new:
-            small = w.lower()
-            if self.pieces is None or "<|" in w or not w.isprintable() or not w.isascii() and (max(w) >= PLAIN or max(small) >= PLAIN):
-                odd.append(w)
-            elif w not in seen:
-                seen[w] = self._plain(small)
-        for at in range(0, len(odd), 20_000):
-            part = odd[at : at + 20_000]
-            seen.update(zip(part, self._library(part)))
-        return [b"".join(map(seen.__getitem__, ws)) for ws in split]
+    def _word(self, word: str) -> bytes:
+        """Ids of a stretch without spaces; marks at the end of a plain word's letters are a piece of their own."""
+        small = word.lower()
+        if self.pieces is None or "<|" in word or not word.isprintable() or not word.isascii() and (max(word) >= PLAIN or max(small) >= PLAIN):
+            return self._library([word])[0]
+        base = small.rstrip(MARKS)
+        if len(base) < len(small) and base.isalpha():
+            return self.words[base] + self.words[small[len(base) :]]
+        return self._direct(small)
 
 
 def _small(text: str) -> str:
@@ -139,6 +151,14 @@ def encoder(path: str) -> ChunkEncoder:
     return _BY_FILE[path]
 
 
+def forget() -> None:
+    """Give back the memory of the words that this worker's encoders remember."""
+    if any(e.words for e in _BY_FILE.values()):
+        for e in _BY_FILE.values():
+            e.words.forget()
+        release()
+
+
 def pack_file(ids: list[int], payloads: list[bytes], level: int = 1) -> bytes:
     """A whole file: directory, one frame a document, seek table."""
     z = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
@@ -213,6 +233,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "ids"])
 
     def pack(batches):
+        forget()  # whatever there was to encode is written
         ids, payloads, size = [], [], 0
         for b in batches:
             for i, p in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
@@ -223,7 +244,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str,
             yield pa.RecordBatch.from_arrays([pa.array([pack_file(ids, payloads)[:-4]], pa.binary())], names=["file"])
 
     encoded, held = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(encode, lambda: encoder(vocabulary).seen.clear()), "doc_id long, ids binary"),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(encode), "doc_id long, ids binary"),
         "token-ids",
     )
     total = encoded.agg(F.sum(F.length("ids"))).first()[0] or 0

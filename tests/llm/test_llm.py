@@ -101,6 +101,22 @@ def test_words_of_token_files():
     assert e.pieces is not None and e.encode(texts) == e._library(texts)
 
 
+def test_words_are_remembered():
+    """Of more words than are kept the rare ones go, within a text too, and ids stay the library's."""
+    e, asked = token_binary.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), keep=200), collections.Counter()
+    direct = e._direct
+    e._direct = lambda w: asked.update([w]) or direct(w)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = ["".join(x) for x in itertools.product("aeiou", letters[:10])]
+    rare = ["".join(x) for x in itertools.product("xyz", letters, letters)]
+    texts = [" ".join([*common, *rare[at : at + 100], rare[at] + ",!", "b" * 70]) for at in range(0, 2000, 100)] + [" ".join(rare)]
+    assert e.encode(texts) == e._library(texts)
+    assert {asked[w] for w in common} == {1}
+    assert asked[",!"] == 1 and len(e.words) <= 200 and len(e.words.older) <= 200 and "b" * 70 not in e.words
+    e.words.forget()
+    assert not e.words and not e.words.older and e.encode(texts[:2]) == e._library(texts[:2])
+
+
 def test_token_file_by_ranges():
     data = token_binary.pack_file([4, 9], [bytes(range(256)) * 40, b"\2\0\0\0" * 3])
     asked = []
