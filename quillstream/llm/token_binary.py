@@ -102,10 +102,13 @@ class ChunkEncoder:
 
     @staticmethod
     def _pattern(spec: dict):
-        """The pattern of the pieces of a word where the vocabulary takes STEPS and no others, else None."""
+        """The pattern of the pieces of a word where the vocabulary takes STEPS and no others, and its special strings
+        hold "<|"; else None."""
         steps = [x for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec.get(part) or {}).get(inner, [])]
         if [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in steps] != STEPS or spec["model"]["type"] != "BPE":
             return None
+        if any("<|" not in x["content"] for x in spec["added_tokens"]):
+            return None
         return regex.compile(steps[3]["pattern"]["Regex"])
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -115,8 +118,8 @@ class ChunkEncoder:
         """For each text its ids as little-endian unsigned integers of `kind`."""
         if not self.by_word:
             return self._library([t or "" for t in texts])
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, _small(t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        ids, small = self.words.__getitem__, str if self.pieces is None else _small
+        return [b"".join(map(ids, small(t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
     def _direct(self, word: str) -> bytes:
         model, out = self.tokenizer.model.tokenize, []
@@ -136,7 +139,10 @@ class ChunkEncoder:
 
 
 def _small(text: str) -> str:
-    """Latin-1 texts in small letters, which leaves fewer different words; others as they are."""
+    """Latin-1 texts in small letters, which leaves fewer different words; others as they are, and so are those that
+    may hold a special string: in capitals it is none."""
+    if "<|" in text:
+        return text
     if not text.isascii():
         try:
             text.encode("latin-1")

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import json
 import math
 import random
 import time
@@ -101,6 +102,21 @@ def test_words_of_token_files():
     assert e.pieces is not None and e.encode(texts) == e._library(texts)
 
 
+def test_capitals_of_token_files(tmp_path):
+    """A special string in capitals is plain text, and a vocabulary that keeps capitals gets them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    spec["normalizer"]["normalizers"].append({"type": "Lowercase"})
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49408, "content": "[sep]"})
+    (tmp_path / "sep.json").write_text(json.dumps(spec))
+    texts = ["a <|ENDOFTEXT|> B", "A<|EndOfText|>", "É <|ENDOFTEXT|> b", "x<|endoftext|>Y", "Big small BIG", "a[sep]B [sep] [SEP]"]
+    for file in (path, str(tmp_path / "cased.json"), str(tmp_path / "sep.json")):
+        e = token_binary.ChunkEncoder(file)
+        assert e.by_word and e.encode(texts) == e._library(texts)
+
+
 def test_words_are_remembered():
     """Of more words than are kept the rare ones go, within a text too, and ids stay the library's."""
     e, asked = token_binary.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), keep=200), collections.Counter()
